@@ -111,7 +111,7 @@ class Engine:
     >>> Engine(spark, mapping=turtle_or_yarrrml, memory={"people": df}).quads()
     """
 
-    def __init__(self, spark: SparkSession, config: str | Config | None = None, mapping: str | None = None, memory: dict[str, Any] | None = None, keys: dict[str, set[str]] | None = None, **options):
+    def __init__(self, spark: SparkSession, config: str | Config | None = None, mapping: str | None = None, memory: dict[str, Any] | None = None, keys: dict[str, set[str]] | None = None, base: str = "", **options):
         env = spark.sparkContext.environment
         if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
             env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -126,7 +126,7 @@ class Engine:
             else:
                 raise TypeError(f"unknown option {k}")
         by_section = mapping_triples(self.config, {"default": mapping} if mapping is not None else None)
-        self.ctx = Context(spark, self.config, dict(memory or {}), http=http_sources(by_section))
+        self.ctx = Context(spark, self.config, dict(memory or {}), http=http_sources(by_section), base=base)
         self.triples_in = by_section
         rules = to_rules(by_section, self.config.self_join_elimination)
         if self.config.infer_sql_datatypes:

@@ -230,13 +230,13 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, seed: int =
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 6000) -> Model | None:
     """Train on labelled documents, at most ``max_toxic`` and about ``max_clean`` of them, chosen by a hash of doc_id.
 
-    Labels with a null doc_id or a null label are left out; a document with contradictory labels counts as toxic.
+    The sample is bounded, so its ids are broadcast and the texts are not shuffled. Labels with a null doc_id or a null label are left out; a document with contradictory labels counts as toxic.
     """
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = dict(own.groupBy(F.col("toxic") > 0).count().collect())
     limit = lambda y, most: (F.col("toxic") > 0 if y else F.col("toxic") <= 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, most / max(1, n.get(y, 0)))))
     chosen = own.where(limit(True, max_toxic) | limit(False, max_clean)).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y"))
-    rows = docs.where("text is not null").select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return train(rows.column("text").to_pylist(), [int(x > 0) for x in rows.column("__y").to_pylist()])
 
 

@@ -28,9 +28,10 @@ class Context:
     memory: dict[str, Any] = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)  # read once per source
     http: dict[str, dict] = field(default_factory=dict)
+    base: str = ""  # what relative paths are relative to
 
     def path(self, text: str) -> str:
-        return text
+        return os.path.join(self.base, text) if self.base and not os.path.isabs(text) and "://" not in text and not text.startswith("{") else text
 
 
 class SourceError(ValueError):
@@ -59,7 +60,7 @@ def source_type(source: LogicalSource, ctx: Context) -> str:
     value = file_of(source, ctx)
     if value.startswith("{") and value.endswith("}"):
         return "memory"
-    if value in ctx.http:
+    if source.value in ctx.http:
         return "http"
     if source.formulation == RML + "GeoParquet":
         return "geoparquet"
@@ -73,7 +74,7 @@ def source_type(source: LogicalSource, ctx: Context) -> str:
 
 def file_of(source: LogicalSource, ctx: Context) -> str:
     section = ctx.config.sources.get(source.section)
-    return section.file_path if section and section.file_path else source.value
+    return ctx.path(section.file_path if section and section.file_path else source.value)
 
 
 def texts(df: DataFrame, references: list[str]) -> DataFrame:

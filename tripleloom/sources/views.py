@@ -18,7 +18,7 @@ UNNEST = re.compile(r"\bUNNEST\s*\(\s*((?:\"[^\"]+\"|[\w.])+)\s*::\s*(?:VARCHAR|
 
 def _view(ctx: Context, path: str, options: str = "") -> str:
     given = {k.lower(): v.strip("'") for k, v in re.findall(r"(\w+)\s*=\s*('[^']*'|\w+)", options)}
-    name = f"v_{uuid.uuid4().hex}"
+    name, path = f"v_{uuid.uuid4().hex}", ctx.path(path)
     ext = path.rsplit(".", 1)[-1].lower()
     if ext in ("csv", "tsv"):
         df = csv_file(ctx, path, [], given.get("delim") or given.get("sep") or ("\t" if ext == "tsv" else None), infer=given.get("all_varchar", "false").lower() != "true")
