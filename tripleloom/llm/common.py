@@ -45,6 +45,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column in taken has it."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case word tokens; none for null."""
     return WORD.findall(text.lower()) if text else []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut, read, ready, words
+from .common import WORD, cut, fresh, read, ready, words
 
 N, MIN_WORDS, DROP_SHARE, MAX_BROADCAST = 8, 4, 0.5, 5_000_000
 SLOTS = 22  # bits of the prefilter table
@@ -103,15 +103,21 @@ def _judge(text: str | None, spans: list[tuple[int, int]], n: int, share: float)
     return without(text, spans), False
 
 
+def flags(columns: list[str]) -> tuple[str, str]:
+    """Names of the two columns that scan() adds to these: ``spans`` and ``removed``, with underscores before them where those are taken."""
+    return fresh("spans", columns), fresh("removed", columns)
+
+
 def _schema(docs: DataFrame) -> T.StructType:
-    return T.StructType([*docs.schema.fields, T.StructField("__spans", T.IntegerType()), T.StructField("__removed", T.BooleanType())])
+    spans, removed = flags(docs.columns)
+    return T.StructType([*docs.schema.fields, T.StructField(spans, T.IntegerType()), T.StructField(removed, T.BooleanType())])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_share: float = DROP_SHARE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """All columns of docs with text decontaminated, and ``__spans`` (number of spans cut) and ``__removed`` (the document goes; its text is null).
+    """All columns of docs with text decontaminated, and, named by flags(), the number of spans cut and whether the document goes (its text is null).
 
     Null and empty texts, and any document where the benchmark is empty, pass unchanged with 0 spans. Null items are left out; repeated items count once.
-    Repeated rows are treated alike. Columns of docs whose names begin with two underscores are reserved.
+    Repeated rows and rows that share a doc_id are treated each by itself. Other columns pass, whatever their names.
     """
     ready(docs.sparkSession)
     items = benchmark.where("text is not null").select("text").distinct()
@@ -119,7 +125,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_share: float =
     if size > max_broadcast:
         return _scan_joined(docs, items, n, drop_share)
     index = docs.sparkSession.sparkContext.broadcast(Index([words(r[0]) for r in items.toLocalIterator()], n))
-    names, at = docs.columns, docs.columns.index("text")
+    names, at, added = docs.columns, docs.columns.index("text"), flags(docs.columns)
 
     def run(batches):
         own = index.value
@@ -133,14 +139,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_share: float =
                 many.append(len(s))
                 gone.append(removed)
             cols = [pa.array(new, pa.string()) if k == at else b.column(k) for k in range(len(names))]
-            yield pa.record_batch([*cols, pa.array(many, pa.int32()), pa.array(gone, pa.bool_())], names=[*names, "__spans", "__removed"])
+            yield pa.record_batch([*cols, pa.array(many, pa.int32()), pa.array(gone, pa.bool_())], names=[*names, *added])
 
     return docs.mapInArrow(run, _schema(docs))
 
 
 def _scan_joined(docs: DataFrame, items: DataFrame, n: int, drop_share: float) -> DataFrame:
     """scan() without a broadcast: windows of documents and items join on hash and words."""
-    docs = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
+    cols, added, number = docs.columns, flags(docs.columns), fresh("number", docs.columns)
+    found, place = fresh("found", cols), fresh("place", cols)
+    schema_out = _schema(docs)
+    docs = cut(docs.withColumn(number, F.monotonically_increasing_id()), "docs")
     short = [r[0] for r in items.select(F.regexp_count("text", F.lit(r"\w+")).alias("k")).where(f"k >= {MIN_WORDS} and k < {n}").distinct().collect()]  # at most n numbers
     sizes = [*sorted(short), n]
 
@@ -163,37 +172,36 @@ def _scan_joined(docs: DataFrame, items: DataFrame, n: int, drop_share: float) -
 
     schema = "row long, pos int, size int, gram string"
     test = items.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(grams(True), schema).select("gram", "size").distinct()
-    hits = docs.select("__row", "text").mapInArrow(grams(False), schema).join(test, ["gram", "size"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("pos", "size")).alias("__hits"))
-    cols = [c for c in docs.columns if c != "__row"]
+    hits = docs.select(number, "text").mapInArrow(grams(False), schema).join(test, ["gram", "size"], "left_semi").groupBy(F.col("row").alias(place)).agg(F.collect_list(F.struct("pos", "size")).alias(found))
 
     def run(batches):
         for b in batches:
             new, many, gone = [], [], []
-            for t, hits in zip(b.column("text").to_pylist(), b.column("__hits").to_pylist()):
+            for t, hits in zip(b.column("text").to_pylist(), b.column(found).to_pylist()):
                 s = merge([(x["pos"], x["pos"] + x["size"]) for x in hits or []])
                 left, removed = _judge(t, s, len(words(t)), drop_share)
                 new.append(left)
                 many.append(len(s))
                 gone.append(removed)
-            yield pa.record_batch([*(pa.array(new, pa.string()) if c == "text" else b.column(c) for c in cols), pa.array(many, pa.int32()), pa.array(gone, pa.bool_())], names=[*cols, "__spans", "__removed"])
+            yield pa.record_batch([*(pa.array(new, pa.string()) if c == "text" else b.column(c) for c in cols), pa.array(many, pa.int32()), pa.array(gone, pa.bool_())], names=[*cols, *added])
 
-    joined = docs.join(hits, docs["__row"] == hits["row"], "left").drop("row", "__row")
-    return joined.mapInArrow(run, _schema(docs.drop("__row")))
+    return docs.join(hits, docs[number] == hits[place], "left").drop(place, number).mapInArrow(run, schema_out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs with benchmark spans cut out and mostly contaminated documents gone; the columns of docs. n_chars, where there is such a column, follows the text."""
-    out = scan(docs, benchmark, **options).where(~F.col("__removed"))
+    spans, removed = flags(docs.columns)
+    out = scan(docs, benchmark, **options).where(~F.col(removed))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("__spans", "__removed")
+        out = out.withColumn("n_chars", F.when(F.col(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(spans, removed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, contaminated, removed, n_spans, text): every document, with its text after the cuts."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = scan(docs, read(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", (F.col("__spans") > 0).alias("contaminated"), F.col("__removed").alias("removed"), F.col("__spans").alias("n_spans"), "text")
+    return out.select("doc_id", (F.col("spans") > 0).alias("contaminated"), "removed", F.col("spans").alias("n_spans"), "text")
 
 
 ORACLE = rf"""
