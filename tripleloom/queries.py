@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .mapping.direct import ForeignKey, catalog_schema, direct_mapping
 from .vocab import GREL, IDLAB, XSD
 
 EX = "http://ex.org/"
@@ -484,3 +485,27 @@ Q["legacy_fnml"] = Query(HEAD + f"""<#R> old:logicalSource [ old:source "{{sf}}/
 
 FLAGSHIP = HEAD + MULTI + tm("R", "region", t("region/{r_regionkey}"), pom("name", ref("r_name"))) + tm("N", "nation", t("nation/{n_nationkey}") + " ; rml:class ex:Nation", pom("name", ref("n_name")), pom("inRegion", join("R", ("n_regionkey", "r_regionkey"))))
 Q["flagship"] = Query(FLAGSHIP, union(MULTI_SQL, select(iri("region/", "r_regionkey"), "name", lit("r_name"), "region"), select(iri("nation/", "n_nationkey"), TYPE, f"'<{EX}Nation>'", "nation"), select(iri("nation/", "n_nationkey"), "name", lit("n_name"), "nation"), select(iri("nation/", "n_nationkey"), "inRegion", iri("region/", "r_regionkey"), "nation join region on n_regionkey = r_regionkey")))
+
+
+# --- direct mapping
+class Direct(Query):
+    """The direct mapping of views whose keys are declared here, as Parquet has none."""
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in ("region", "nation", "supplier"):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"loom_{name}")
+        foreign = {"loom_nation": [ForeignKey(("n_regionkey",), "loom_region", ("r_regionkey",))], "loom_supplier": [ForeignKey(("s_nationkey",), "loom_nation", ("n_nationkey",))]}
+        tables = catalog_schema(spark, {"loom_region": ("r_regionkey",), "loom_nation": ("n_nationkey",), "loom_supplier": ("s_suppkey",)}, foreign)
+        return Engine(spark, mapping=direct_mapping(tables, EX), infer_sql_datatypes=True).triples()
+
+
+def _direct_sql(table: str, key: str, columns: dict[str, str | None], foreign: tuple[str, str, str] | None) -> str:
+    s = iri(f"loom_{table}/{key}=", key)
+    parts = [select(s, TYPE, f"'<{EX}loom_{table}>'", table)] + [select(s, f"loom_{table}#{c}", typed(c, kind) if kind else lit(c), table) for c, kind in columns.items()]
+    if foreign:
+        c, parent, k = foreign
+        parts.append(select(s, f"loom_{table}#ref-{c}", iri(f"loom_{parent}/{k}=", k), f"{table} join {parent} on {c} = {k}"))
+    return union(*parts)
+
+
+Q["direct_mapping"] = Direct("", union(_direct_sql("region", "r_regionkey", {"r_regionkey": "integer", "r_name": None}, None), _direct_sql("nation", "n_nationkey", {"n_nationkey": "integer", "n_name": None, "n_regionkey": "integer"}, ("n_regionkey", "region", "r_regionkey")), _direct_sql("supplier", "s_suppkey", {"s_suppkey": "integer", "s_name": None, "s_nationkey": "integer", "s_acctbal": "double"}, ("s_nationkey", "nation", "n_nationkey"))))
