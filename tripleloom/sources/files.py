@@ -5,8 +5,9 @@ from __future__ import annotations
 import csv
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import Context
+from . import Context, col
 
 
 def delimiter(header: str, references: list[str], path: str) -> str:
@@ -35,5 +36,8 @@ def csv_file(ctx: Context, path: str, references: list[str], sep: str | None = N
             first = ctx.spark.read.text(path).head(1)
             sep = delimiter(first[0][0].lstrip("﻿") if first else "", references, path)
         many = options.get("csv_multiline", "yes").lower() not in ("no", "false", "0")
-        ctx.tables[key] = ctx.spark.read.csv(path, header=True, sep=sep, inferSchema=infer, quote='"', escape='"', multiLine=many, emptyValue="", encoding="UTF-8")
+        df = ctx.spark.read.csv(path, header=True, sep=sep, inferSchema=infer, quote='"', escape='"', multiLine=many, emptyValue="", encoding="UTF-8")
+        if not infer and "" not in ctx.config.na_values:  # the reader gives null for an empty field, which is text here unless it counts as no value
+            df = df.select(*(F.coalesce(col(c), F.lit("")).alias(c) for c in df.columns))
+        ctx.tables[key] = df
     return ctx.tables[key]
