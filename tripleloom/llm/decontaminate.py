@@ -5,7 +5,7 @@ words (but at least ``MIN_WORDS``) match by all their words. Windows are looked
 Overlapping and touching hits merge to spans. Spans are cut out of the text; a document of which at least ``DROP_SHARE`` of the words lie in spans
 is removed whole.
 
-The hash set is broadcast while the benchmark has at most ``max_broadcast`` windows; beyond it, windows of
+The hash set is broadcast while the benchmark can't have more than ``max_broadcast`` windows, by its characters; beyond it, windows of
 both sides meet in a shuffled join, with the same result.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .common import WORD, cut, fresh, read, ready, words
 
-N, MIN_WORDS, DROP_SHARE, MAX_BROADCAST = 8, 4, 0.5, 5_000_000
+N, MIN_WORDS, DROP_SHARE, MAX_BROADCAST = 8, 4, 0.5, 500_000
 SLOTS = 22  # bits of the prefilter table
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,8 +121,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_share: float =
     """
     ready(docs.sparkSession)
     items = benchmark.where("text is not null").select("text").distinct()
-    size = items.agg(F.sum(F.regexp_count("text", F.lit(r"\w+")))).first()[0] or 0
-    if size > max_broadcast:
+    most = (items.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // 2  # no text has more words, nor windows
+    if most > max_broadcast:
         return _scan_joined(docs, items, n, drop_share)
     index = docs.sparkSession.sparkContext.broadcast(Index([words(r[0]) for r in items.toLocalIterator()], n))
     names, at, added = docs.columns, docs.columns.index("text"), flags(docs.columns)
@@ -150,16 +150,14 @@ def _scan_joined(docs: DataFrame, items: DataFrame, n: int, drop_share: float) -
     found, place = fresh("found", cols), fresh("place", cols)
     schema_out = _schema(docs)
     docs = cut(docs.withColumn(number, F.monotonically_increasing_id()), "docs")
-    short = [r[0] for r in items.select(F.regexp_count("text", F.lit(r"\w+")).alias("k")).where(f"k >= {MIN_WORDS} and k < {n}").distinct().collect()]  # at most n numbers
-    sizes = [*sorted(short), n]
 
-    def grams(exact: bool):
+    def grams(sizes: list[int] | None):
         def run(batches):
             for b in batches:
                 ids, pos, size, text = [], [], [], []
                 for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     w = words(t)
-                    for k in sizes if not exact else [n if len(w) >= n else len(w)]:
+                    for k in [min(n, len(w))] if sizes is None else sizes:
                         if k >= MIN_WORDS:
                             for i in range(len(w) - k + 1):
                                 ids.append(r)
@@ -171,8 +169,9 @@ def _scan_joined(docs: DataFrame, items: DataFrame, n: int, drop_share: float) -
         return run
 
     schema = "row long, pos int, size int, gram string"
-    test = items.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(grams(True), schema).select("gram", "size").distinct()
-    hits = docs.select(number, "text").mapInArrow(grams(False), schema).join(test, ["gram", "size"], "left_semi").groupBy(F.col("row").alias(place)).agg(F.collect_list(F.struct("pos", "size")).alias(found))
+    test = cut(items.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(grams(None), schema).select("gram", "size").distinct(), "test")
+    sizes = sorted(r[0] for r in test.select("size").distinct().collect())  # at most n numbers
+    hits = docs.select(number, "text").mapInArrow(grams(sizes), schema).join(test, ["gram", "size"], "left_semi").groupBy(F.col("row").alias(place)).agg(F.collect_list(F.struct("pos", "size")).alias(found))
 
     def run(batches):
         for b in batches:
