@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, ready
+from .common import cut, forget, read, ready
 
 MIN_CHARS, BATCHES, FANOUT = 10, 6, 3
 
@@ -46,10 +46,12 @@ class Runs:
             self.levels[k].append(new)
             if len(self.levels[k]) < self.fanout:
                 return
-            new = self.levels[k][0]
-            for run in self.levels[k][1:]:
-                new = new.unionByName(run)
-            self.levels[k], new, k = [], self._run(new.repartition("h")), k + 1
+            merged, old = self.levels[k][0], self.levels[k]
+            for run in old[1:]:
+                merged = merged.unionByName(run)
+            self.levels[k], new, k = [], self._run(merged.repartition("h")), k + 1
+            for run in old:
+                forget(run)
 
 
 def repeats(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, ready, words
+from .common import cut, forget, read, ready, words
 
 RADIUS, RATIO, TILE, ROWS, STRIP = 56, 0.7, 65_536, 64, 2048
 WORDS = ("s0", "s1", "s2", "s3")
@@ -130,7 +130,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).where("node <> root").distinct()
         low = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(low, "node").select(F.when(F.col("root") == F.col("low"), F.col("node")).otherwise(F.col("root")).alias("node"), F.col("low").alias("root")).where("node <> root").distinct()
-        edges = cut(small, "edges")
+        old, edges = edges, cut(small, "edges")
+        forget(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
         if now == before:
             return edges
