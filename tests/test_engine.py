@@ -198,6 +198,22 @@ def initials(text):
     assert {o for s, _, o, _ in got if s == "<http://ex.org/5>"} == {'"Ä"', '"&"', '"c"'} and not any(s == "<http://ex.org/1>" for s, *_ in got)
 
 
+def test_compatible_results_of_odd_functions(spark, memory):
+    def call(function, *args):
+        own = " , ".join(f'[ rml:parameter {p} ; rml:inputValueMap [ rml:constant "{v}" ] ]' for p, v in args)
+        return tm("A", "sports", 'rml:template "http://ex.org/{ID}"', ("x", f"rml:functionExecution [ rml:function {function} ; rml:input {own} ]"))
+
+    def value(text, **options):
+        (o,) = {o for _, _, o, _ in run(spark, text, memory, **options)}
+        return o.strip('"')
+
+    diff = lambda unit: call("grel:date_diff", ("grel:p_datetime_d", "2024-01-01T00:00:00"), ("grel:p_datetime_d2", "2024-01-03T01:00:05"), ("grel:p_string_timeunit", unit))
+    assert [value(diff(u)) for u in "dhms"] == ["2", "49", "2940", "176405"]
+    assert [value(diff(u), compat=True) for u in "dhms"] == ["2", "216300", "2940", "3605"]
+    url = call("<http://example.com/idlab/function/toUpperCaseURL>", ("<http://example.com/idlab/function/str>", "https://a.org/b"))
+    assert value(url) == "https://A.ORG/B" and value(url, compat=True) == "https://HTTPS%3A%2F%2F"
+
+
 def test_streams(spark, tmp_path):
     from tripleloom.streaming import stream_quads
 

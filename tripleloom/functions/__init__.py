@@ -93,7 +93,7 @@ def load() -> dict[str, Function]:
 
 
 def call(iri: str, args: list[tuple[str, Value]], udfs: dict | None = None, compat: bool = False) -> Value:
-    """Evaluate a function. Built-in ones win over the user's."""
+    """Evaluate a function. Built-in ones win over the user's. compat: the older results of those that have such (names ``compat:...``)."""
     by: dict[str, list[Value]] = {}
     for p, v in args:
         by.setdefault(local(p), []).append(v)
@@ -103,7 +103,8 @@ def call(iri: str, args: list[tuple[str, Value]], udfs: dict | None = None, comp
             return vs[0]
         return Value(F.concat(*(v.items for v in vs)) if any(v.array for v in vs) else F.array(*(v.col for v in vs)), True)
 
-    own = load().get(short(iri))
+    name = short(iri)
+    own = load().get(f"compat:{name}" if compat and f"compat:{name}" in load() else name)
     if own:
         known = {p: a for a, p in own.params.items()}
         unknown = by.keys() - known.keys()

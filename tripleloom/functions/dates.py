@@ -79,6 +79,14 @@ def date_diff(first: Value, second: Value, unit: Value) -> Value:
     )
 
 
+@fn("compat:grel:date_diff", first="p_datetime_d", second="p_datetime_d2", unit="p_string_timeunit")
+def old_date_diff(first: Value, second: Value, unit: Value) -> Value:
+    """As date_diff, but hours are sixty times, and seconds are, the seconds of the last day begun."""
+    rest = F.pmod(F.floor(F.abs(F.unix_micros(stamp(first)) - F.unix_micros(stamp(second))) / 1_000_000), F.lit(86_400))
+    u = unit.text
+    return Value(F.when(u.isin("h", "hours"), (rest * 60).cast("string")).when(u.isin("s", "seconds"), rest.cast("string")).otherwise(date_diff(first, second, unit).col))
+
+
 @fn("grel:date_datePart", value="p_date_d", unit="p_string_unit")
 def date_part(value: Value, unit: Value) -> Value:
     t, u = stamp(value), F.lower(unit.text)

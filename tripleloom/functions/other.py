@@ -47,6 +47,13 @@ def upper_url(value: Value) -> Value:
     return Value(F.concat(F.when(scheme == "", F.lit("http://")).otherwise(scheme), rest))
 
 
+@fn("compat:idlab:toUpperCaseURL", value="str")
+def old_upper_url(value: Value) -> Value:
+    """As toUpperCaseURL, but of a URL with a scheme only the scheme is left, twice."""
+    scheme = F.regexp_extract(F.lower(value.text), r"^(https?://)", 1)
+    return Value(F.when(scheme == "", F.concat(F.lit("http://"), encode_iri(F.upper(value.text)))).otherwise(F.concat(scheme, encode_iri(F.upper(scheme)))))
+
+
 @fn("kgc:uuid")
 def uuid() -> Value:
     return Value(F.expr("uuid()"))
