@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ P, WINDOW, DECAY, SYMBOLS, LONGEST = 3, 6, 0.55, 48, 16
 SENTENCE = re.compile(r"[.!?\n]+")
 SPACED = re.compile(r"(?<!\S)(?:\w[\s.*_-]+){3,}\w(?!\S)")
 LEET = str.maketrans("013457@$", "oieastas")
+SEPARATORS = re.compile(r"[\s.*_-]+")
+LOOSE = re.compile(r"[.*_-]*(?:[^\W_][.*_-]+)*[^\W_]?")  # a superset of the tokens that a match of SPACED holds
 NOT_LETTER = re.compile(r"[\W\d_]+")
-CACHE = 300_000
+CACHE = 600_000
 RIDGE = 0.1
 
 
@@ -47,7 +51,7 @@ def tokens(text: str) -> set[str]:
     low = text.lower()
     out = set(low.split())
     for run in SPACED.findall(low):
-        out.add(re.sub(r"[\s.*_-]+", "", run))
+        out.add(SEPARATORS.sub("", run))
     return out
 
 
@@ -81,15 +85,17 @@ def _norm(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def grams(units: list[str]):
     """For units by length: (indexes, gram ids [n, g], weights [g]). Units longer than LONGEST come as several overlapping pieces."""
-    by: dict[int, tuple[list[int], list[str]]] = {}
+    by: dict[int, list[int]] = defaultdict(list)
     for k, u in enumerate(units):
-        s = "^" + u
-        pieces = [s] if len(s) <= LONGEST else [s[i : i + LONGEST] for i in range(0, len(s) - LONGEST // 2, LONGEST // 2)]
-        for x in pieces:
-            at, own = by.setdefault(len(x), ([], []))
+        by[len(u) + 1].append(k)
+    groups = {n: (at, ["^" + units[k] for k in at]) for n, at in by.items() if n <= LONGEST}
+    for k in (k for n, at in by.items() if n > LONGEST for k in at):
+        s = "^" + units[k]
+        for i in range(0, len(s) - LONGEST // 2, LONGEST // 2):
+            at, own = groups.setdefault(len(x := s[i : i + LONGEST]), ([], []))
             at.append(k)
             own.append(x)
-    for length, (at, own) in by.items():
+    for length, (at, own) in groups.items():
         pos, w = _combos(length)
         if not len(pos):
             continue
@@ -161,7 +167,8 @@ def _threshold(toxic: np.ndarray, clean: np.ndarray, wrongly: float = 10.0) -> f
 
 def train(texts: list[str], labels: list[int], landmarks: int = 160, seed: int = 7, rounds: int = 3) -> Model | None:
     """Fit on labelled texts. Units seen in clean texts are negatives; each toxic text's witnesses, chosen again each round, are positives. None if a class is missing."""
-    docs = [{u for t in tokens(x or "") if len(u := unit(t)) >= 3} for x in texts]
+    one: dict[str, str] = {}  # one string for all places of a unit
+    docs = [{one.setdefault(u, u) for t in tokens(x or "") if len(u := unit(t)) >= 3} for x in texts]
     toxic, clean = [d for d, y in zip(docs, labels) if y and d], [d for d, y in zip(docs, labels) if not y and d]
     if not toxic or not clean:
         return None
@@ -241,23 +248,72 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
 
 
 class Scorer:
-    """Scores texts, remembering the scores of raw tokens."""
+    """Scores texts, remembering which raw tokens it has seen and the scores of those above the floor, the threshold less 1; they are few."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.floor = model, model.threshold - 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: set[str] = set()
+        self.short: set[str] = set()  # tokens without a unit of three letters
+        self.loose: set[str] = set()  # tokens that may be part of a spaced-out word
+        self.hot: dict[str, float] = {}
+        self.hot_tokens: set[str] = set()
+
+    def learn(self, new: set[str]) -> None:
+        by: dict[str, list[str]] = defaultdict(list)
+        for t in new:
+            if t.isalpha() and len(t) >= 3:  # most are: their own unit, and not loose
+                by[t].append(t)
+                continue
+            u = unit(t)
+            if len(u) >= 3:
+                by[u].append(t)
+            else:
+                self.short.add(t)
+            if LOOSE.fullmatch(t):
+                self.loose.add(t)
+        own = list(by)
+        got = self.model.score(own)
+        for k in np.flatnonzero(got > self.floor).tolist():
+            for t in by[own[k]]:
+                self.hot[t] = float(got[k])
+                self.hot_tokens.add(t)
+        self.seen |= new
 
     def texts(self, texts: list[str]) -> list[float]:
-        sets = [tokens(x) for x in texts]
-        new = list(set().union(*sets) - self.known.keys()) if sets else []
-        if len(self.known) + len(new) > CACHE and self.known:
-            self.known.clear()
-            new = list(set().union(*sets))
-        us = [unit(t) for t in new]
-        ok = [k for k, u in enumerate(us) if len(u) >= 3]
-        self.known.update(dict.fromkeys(new, -np.inf))
-        self.known.update(zip((new[k] for k in ok), self.model.score([us[k] for k in ok]).tolist()))
-        get = self.known.__getitem__
-        return [max(map(get, s), default=-np.inf) for s in sets]
+        low = [x.lower() for x in texts]
+        sets = [set(x.split()) for x in low]
+        new = set().union(*sets)
+        if len(self.seen) > CACHE:
+            self.forget()
+        self.learn(new - self.seen)
+        more: set[str] = set()
+        for x, s in zip(low, sets):
+            if not s.isdisjoint(self.loose):
+                joined = [SEPARATORS.sub("", run) for run in SPACED.findall(x)]
+                s.update(joined)
+                more.update(joined)
+        if more:
+            self.learn(more - self.seen)
+        out = []
+        for s in sets:
+            hot = s & self.hot_tokens
+            out.append(max(self.hot[t] for t in hot) if hot else -np.inf if s <= self.short else self.floor)
+        return out
+
+
+_SCORERS: dict[bytes, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """The scorer of this model in this Python process, which outlives a task."""
+    key = xxhash.xxh128_digest(model.weight.tobytes() + repr((model.bias, model.threshold)).encode())
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -272,14 +328,14 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     ready(docs.sparkSession)
 
     def run(batches):
-        scorer = Scorer(model)
+        own = scorer(model)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             raw = []
             for lo in range(0, len(texts), 200):
-                raw += scorer.texts(texts[lo : lo + 200])
+                raw += own.texts(texts[lo : lo + 200])
             margin = [x - model.threshold for x in raw]
-            many = [sum(x >= model.threshold for x in scorer.texts([s for s in SENTENCE.split(t) if s])) or 1 if m >= 0 else 0 for t, m in zip(texts, margin)]
+            many = [sum(x >= model.threshold for x in own.texts([s for s in SENTENCE.split(t) if s])) or 1 if m >= 0 else 0 for t, m in zip(texts, margin)]
             yield pa.record_batch([b.column(0), pa.array([round(m, 4) if np.isfinite(m) else None for m in margin], pa.float64()), pa.array([m >= 0 for m in margin]), pa.array(many, pa.int32())], names=["doc_id", "score", "toxic", "n_toxic_sentences"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -294,12 +350,12 @@ def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        scorer = Scorer(model)
+        own = scorer(model)
         for b in batches:
             texts = [x or "" for x in b.column(at).to_pylist()]
             keep = []
             for lo in range(0, len(texts), 200):
-                keep += [x < model.threshold for x in scorer.texts(texts[lo : lo + 200])]
+                keep += [x < model.threshold for x in own.texts(texts[lo : lo + 200])]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
