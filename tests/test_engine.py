@@ -16,12 +16,12 @@ from tripleloom.sinks import kafka_rows, write, write_folder, write_groups
 HEAD = """@prefix rml: <http://w3id.org/rml/> . @prefix ex: <http://ex.org/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix grel: <http://users.ugent.be/~bjdmeest/function/grel.ttl#> .
 """
 PEOPLE = [("1", "Ann", "2"), ("2", 'B "q"\n\\', None), ("3", "", "2"), ("4", "nan", "9"), ("5", "Ärger & co", "1")]
-SPORTS = [("1", "chess"), ("2", "go"), ("2", "judo")]
+BOATS = [("1", "chess"), ("2", "go"), ("2", "judo")]
 
 
 @pytest.fixture(scope="module")
 def memory(spark):
-    return {"people": spark.createDataFrame(PEOPLE, "ID string, Name string, Sport string"), "sports": spark.createDataFrame(SPORTS, "ID string, Name string")}
+    return {"people": spark.createDataFrame(PEOPLE, "ID string, Name string, Boat string"), "boats": spark.createDataFrame(BOATS, "ID string, Name string")}
 
 
 def run(spark, text, memory, **options):
@@ -33,10 +33,10 @@ def tm(name, source, subject, *poms):
 
 
 def test_null_and_na_values_drop_the_row_of_the_rule(spark, memory):
-    text = tm("A", "people", 'rml:template "http://ex.org/{ID}"', ("name", 'rml:reference "Name"'), ("sport", 'rml:reference "Sport"'))
+    text = tm("A", "people", 'rml:template "http://ex.org/{ID}"', ("name", 'rml:reference "Name"'), ("boat", 'rml:reference "Boat"'))
     got = run(spark, text, memory)
     assert {(s, o) for s, p, o, _ in got if p == "<http://ex.org/name>"} == {("<http://ex.org/1>", '"Ann"'), ("<http://ex.org/2>", '"B \\"q\\"\\n\\\\"'), ("<http://ex.org/5>", '"Ärger & co"')}
-    assert {s for s, p, _, _ in got if p == "<http://ex.org/sport>"} == {f"<http://ex.org/{k}>" for k in (1, 3, 4, 5)}
+    assert {s for s, p, _, _ in got if p == "<http://ex.org/boat>"} == {f"<http://ex.org/{k}>" for k in (1, 3, 4, 5)}
 
 
 def test_iri_templates_are_encoded_and_references_are_not(spark, memory):
@@ -50,7 +50,7 @@ def test_escaped_braces(spark, memory):
 
 
 def test_join_keeps_set_semantics(spark, memory):
-    text = tm("S", "sports", 'rml:template "http://ex.org/sport/{ID}"') + tm("A", "people", 'rml:template "http://ex.org/{ID}"', ("plays", 'rml:parentTriplesMap <#S> ; rml:joinCondition [ rml:child "Sport" ; rml:parent "ID" ]'))
+    text = tm("S", "boats", 'rml:template "http://ex.org/boat/{ID}"') + tm("A", "people", 'rml:template "http://ex.org/{ID}"', ("sails", 'rml:parentTriplesMap <#S> ; rml:joinCondition [ rml:child "Boat" ; rml:parent "ID" ]'))
     df = Engine(spark, mapping=HEAD + text, memory=memory).quads()
     rows = [tuple(r) for r in df.collect()]
     assert len(rows) == len(set(rows)) == 3
@@ -58,13 +58,13 @@ def test_join_keeps_set_semantics(spark, memory):
 
 
 def test_a_join_without_condition_between_sources_is_refused(spark, memory):
-    text = tm("S", "sports", 'rml:template "http://ex.org/sport/{ID}"') + tm("A", "people", 'rml:template "http://ex.org/{ID}"', ("plays", "rml:parentTriplesMap <#S>"))
+    text = tm("S", "boats", 'rml:template "http://ex.org/boat/{ID}"') + tm("A", "people", 'rml:template "http://ex.org/{ID}"', ("sails", "rml:parentTriplesMap <#S>"))
     with pytest.raises(ValueError):
         run(spark, text, memory)
 
 
 def test_self_join_elimination_can_be_switched_off(spark, memory):
-    text = tm("S", "sports", 'rml:template "http://ex.org/n/{Name}"') + tm("A", "sports", 'rml:template "http://ex.org/{ID}"', ("is", 'rml:parentTriplesMap <#S> ; rml:joinCondition [ rml:child "ID" ; rml:parent "ID" ]'))
+    text = tm("S", "boats", 'rml:template "http://ex.org/n/{Name}"') + tm("A", "boats", 'rml:template "http://ex.org/{ID}"', ("is", 'rml:parentTriplesMap <#S> ; rml:joinCondition [ rml:child "ID" ; rml:parent "ID" ]'))
     assert len(run(spark, text, memory)) == 3
     plan = Engine(spark, mapping=HEAD + text, memory=memory).quads()._jdf.queryExecution().toString()
     assert "Join" not in plan
@@ -72,15 +72,15 @@ def test_self_join_elimination_can_be_switched_off(spark, memory):
 
 
 def test_quoted_statements_nest_and_join(spark, memory):
-    text = tm("N", "sports", 'rml:template "http://ex.org/sport/{ID}"', ("name", 'rml:reference "Name"')).replace("<#N>", "<#N> a rml:NonAssertedTriplesMap ;", 1)
-    text += tm("Q", "people", 'rml:template "http://ex.org/{ID}"', ("knows", 'rml:quotedTriplesMap <#N> ; rml:joinCondition [ rml:child "Sport" ; rml:parent "ID" ]'))
+    text = tm("N", "boats", 'rml:template "http://ex.org/boat/{ID}"', ("name", 'rml:reference "Name"')).replace("<#N>", "<#N> a rml:NonAssertedTriplesMap ;", 1)
+    text += tm("Q", "people", 'rml:template "http://ex.org/{ID}"', ("knows", 'rml:quotedTriplesMap <#N> ; rml:joinCondition [ rml:child "Boat" ; rml:parent "ID" ]'))
     got = run(spark, text, memory)
-    assert {o for s, _, o, _ in got if s == "<http://ex.org/1>"} == {f'<< <http://ex.org/sport/2> <http://ex.org/name> "{n}" >>' for n in ("go", "judo")}
+    assert {o for s, _, o, _ in got if s == "<http://ex.org/1>"} == {f'<< <http://ex.org/boat/2> <http://ex.org/name> "{n}" >>' for n in ("go", "judo")}
     assert all(p == "<http://ex.org/knows>" for _, p, _, _ in got)
 
 
 def test_graphs_and_output_formats(spark, memory, tmp_path):
-    text = tm("A", "sports", 'rml:template "http://ex.org/{ID}" ; rml:graph ex:g', ("name", 'rml:reference "Name"'))
+    text = tm("A", "boats", 'rml:template "http://ex.org/{ID}" ; rml:graph ex:g', ("name", 'rml:reference "Name"'))
     assert {g for *_, g in run(spark, text, memory)} == {"<http://ex.org/g>"}
     e = Engine(spark, mapping=HEAD + text, memory=memory, output_file=str(tmp_path / "out"), output_format="N-QUADS")
     write(e)
@@ -97,7 +97,7 @@ def test_graphs_and_output_formats(spark, memory, tmp_path):
 
 
 def test_groups_are_written_apart_and_disjoint(spark, memory, tmp_path):
-    text = tm("A", "people", 'rml:template "http://ex.org/{ID}"', ("name", 'rml:reference "Name"'), ("sport", 'rml:reference "Sport"'), ("like", 'rml:template "http://ex.org/s/{Sport}"'))
+    text = tm("A", "people", 'rml:template "http://ex.org/{ID}"', ("name", 'rml:reference "Name"'), ("boat", 'rml:reference "Boat"'), ("like", 'rml:template "http://ex.org/s/{Boat}"'))
     e = Engine(spark, mapping=HEAD + text, memory=memory)
     paths = write_groups(e, str(tmp_path / "groups"))
     assert len(paths) == len(e.groups) == 3
@@ -110,7 +110,7 @@ def random_mapping(rng):
     for k in range(rng.randint(1, 4)):
         subject = rng.choice(['rml:template "http://ex.org/{ID}"', 'rml:template "http://ex.org/a/{ID}"', 'rml:template "b{ID}" ; rml:termType rml:BlankNode', 'rml:reference "Name" ; rml:termType rml:IRI', "rml:constant ex:all"])
         objects = ['rml:reference "Name"', 'rml:reference "Name" ; rml:language "en"', 'rml:template "http://ex.org/{Name}"', 'rml:constant "x"', 'rml:reference "ID" ; rml:datatype xsd:integer', 'rml:template "http://ex.org/a/{ID}"', 'rml:template "{ID}{Name}" ; rml:termType rml:Literal']
-        maps.append(tm(f"M{k}", rng.choice(["people", "sports"]), subject, *((rng.choice("pq"), rng.choice(objects)) for _ in range(rng.randint(1, 3)))))
+        maps.append(tm(f"M{k}", rng.choice(["people", "boats"]), subject, *((rng.choice("pq"), rng.choice(objects)) for _ in range(rng.randint(1, 3)))))
     return "".join(maps)
 
 
@@ -201,7 +201,7 @@ def initials(text):
 def test_compatible_results_of_odd_functions(spark, memory):
     def call(function, *args):
         own = " , ".join(f'[ rml:parameter {p} ; rml:inputValueMap [ rml:constant "{v}" ] ]' for p, v in args)
-        return tm("A", "sports", 'rml:template "http://ex.org/{ID}"', ("x", f"rml:functionExecution [ rml:function {function} ; rml:input {own} ]"))
+        return tm("A", "boats", 'rml:template "http://ex.org/{ID}"', ("x", f"rml:functionExecution [ rml:function {function} ; rml:input {own} ]"))
 
     def value(text, **options):
         (o,) = {o for _, _, o, _ in run(spark, text, memory, **options)}

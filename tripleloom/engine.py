@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from pathlib import Path
 from typing import Any
 from urllib.request import urlopen
 
@@ -22,7 +23,7 @@ from .sources import Context, source_type
 from .sources.databases import table_types
 from .vocab import HTV
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def _documents(spec: str) -> Iterator[tuple[str, str]]:

@@ -13,6 +13,8 @@ from . import Value, fn, python
 COMPARE = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.In: lambda a, b: a in b, ast.NotIn: lambda a, b: a not in b}
 ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.FloorDiv: operator.floordiv}
 
+YES, NO = ("1", "on", "true", "yes"), ("", "0", "no", "off", "false")
+
 
 def evaluate(text: str):
     """Literals, comparisons, and/or/not and arithmetic; anything else is an error."""
@@ -73,7 +75,7 @@ def controls_if(test: Value, yes: Value, no: Value) -> Value:
 
 @fn("kgc:controls_if_cast", test="bool_b", yes="any_true", no="any_false")
 def controls_if_cast(test: Value, yes: Value, no: Value) -> Value:
-    return _choose(condition(test, ("true", "yes", "on", "1"), ("", "false", "no", "off", "0")), yes, no)
+    return _choose(condition(test, YES, NO), yes, no)
 
 
 def _choose(test: Column, yes: Value, no: Value) -> Value:

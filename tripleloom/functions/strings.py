@@ -154,7 +154,7 @@ def substring(value: Value, start: Value, end: Value | None = None) -> Value:
 
 @fn("grel:string_splitByCharType", value="valueParameter")
 def split_by_char_type(value: Value) -> Value:
-    return Value(F.regexp_extract_all(value.text, F.lit(r"[A-Z]+|[a-z]+|\s|[0-9]"), F.lit(0)), True)
+    return Value(F.regexp_extract_all(value.text, F.lit(r"\d|\s|[a-z]+|[A-Z]+"), F.lit(0)), True)
 
 
 def _parted(value: Value, fragment: Value, omit: Value | None, at: Column) -> Value:

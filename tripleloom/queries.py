@@ -225,7 +225,7 @@ part("string_toNumber", G + "string_toNumber", [(G + "p_any_e", PRICE)], "cast(p
 part("string_toString", G + "string_toString", [(G + "p_any_e", SIZE)], "cast(p_size as varchar)")
 part("string_split", G + "string_split", [(V, PTYPE), (G + "p_string_sep", const(" "))], f"unnest({WORDS})")
 part("string_smartSplit", G + "string_smartSplit", [(V, 'rml:template "{p_size},{p_brand}"')], "unnest([cast(p_size as varchar), p_brand])")
-part("string_splitByCharType", G + "string_splitByCharType", [(V, BRAND)], r"unnest(regexp_extract_all(p_brand, '[A-Z]+|[a-z]+|\s|[0-9]'))")
+part("string_splitByCharType", G + "string_splitByCharType", [(V, BRAND)], r"unnest(regexp_extract_all(p_brand, '[0-9]|\s|[a-z]+|[A-Z]+'))")
 part("string_splitByLengths", G + "string_splitByLengths", [(V, BRAND), (I1, const("2")), (I2, const("3"))], "unnest([substr(p_brand, 1, 2), substr(p_brand, 3, 3)])")
 part("string_partition", G + "string_partition", [(V, BRAND), (G + "p_fragment", const("#"))], "unnest([string_split(p_brand, '#')[1], '#', string_split(p_brand, '#')[2]])")
 part("string_rpartition", G + "string_rpartition", [(V, NAME), (G + "p_fragment", const(" ")), (G + "p_bool_opt_b", const("true"))], "unnest(case when contains(p_name, ' ') then [left(p_name, length(p_name) - strpos(reverse(p_name), ' ')), right(p_name, strpos(reverse(p_name), ' ') - 1)] else ['', p_name] end)")
