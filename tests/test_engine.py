@@ -140,6 +140,22 @@ def test_a_scan_is_shared_and_narrow(spark, sf):
     assert "Exchange" not in unique
 
 
+def test_no_row_twice_where_safe_characters_part_references(spark):
+    df = spark.createDataFrame([("x/y", "z"), ("x", "y/z")], "a string, b string")
+    text = tm("A", "t", 'rml:template "http://ex.org/{a}/{b}"', ("is", 'rml:constant "v"'))
+    for safe, n in (("", 2), ("/", 1)):
+        assert Engine(spark, mapping=HEAD + text, memory={"t": df}, safe_percent_encoding=safe).quads().count() == n
+
+
+def test_joined_rows_lose_duplicates_before_terms(spark, memory):
+    text = tm("S", "boats", 'rml:template "http://ex.org/boat/{Name}"') + tm("A", "people", 'rml:template "http://ex.org/{Boat}"', ("sails", 'rml:parentTriplesMap <#S> ; rml:joinCondition [ rml:child "Boat" ; rml:parent "ID" ]'))
+    df = Engine(spark, mapping=HEAD + text, memory=memory).quads()
+    rows = [tuple(r)[:3] for r in df.collect()]
+    assert sorted(rows) == [(f"<http://ex.org/{k}>", "<http://ex.org/sails>", f"<http://ex.org/boat/{n}>") for k, n in (("1", "chess"), ("2", "go"), ("2", "judo"))]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Aggregate [Boat#") and "__parent_Name" in plan.split("]")[0]
+
+
 def test_mapping_errors(spark, memory):
     with pytest.raises((MappingError, ValueError)):
         run(spark, tm("A", "people", 'rml:template "http://ex.org/{ID}"', ("p", 'rml:reference "ID"')).replace("rml:predicate ex:p", 'rml:predicateMap [ rml:template "b{ID}" ; rml:termType rml:BlankNode ]'), memory)

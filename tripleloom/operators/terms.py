@@ -72,8 +72,8 @@ def graph(m: TermMap, config: Config, prefix: str = "", value: Column | None = N
     return term(m, config, prefix, value)
 
 
-def is_injective(m: TermMap) -> bool:
-    """Whether different references give different terms: one reference, or references parted by characters that percent-encoding removes from values."""
+def is_injective(m: TermMap, safe: str = "") -> bool:
+    """Whether different references give different terms: one reference, or references parted by characters that percent-encoding (but for the safe ones) removes from values."""
     if m.kind == "constant":
         return True
     if m.kind == "reference":
@@ -86,4 +86,4 @@ def is_injective(m: TermMap) -> bool:
         return True
     if m.termtype != "IRI":
         return False
-    return all(any(not r and any(not (c.isalnum() and c.isascii()) and c not in "-._~%" for c in t) for t, r in segments[a + 1 : b]) for a, b in zip(refs, refs[1:]))
+    return all(any(not r and any(not (c.isalnum() and c.isascii()) and c not in "-._~%" + safe for c in t) for t, r in segments[a + 1 : b]) for a, b in zip(refs, refs[1:]))

@@ -6,7 +6,8 @@ and are only united. Three shapes of plan are used:
 * narrow: the columns that a rule needs, without duplicates, then terms. The shuffle moves column values, not statements. For a rule alone in
   its group whose terms differ wherever its columns do, and sources that read columns by themselves.
 * stacked: one scan for all plain rules of a source; each row gives an array of statements, one per rule, which is exploded.
-* general: a rule by itself, for joins, quoted statements and functions.
+* joined: as narrow, for a referencing object map: only key and term columns go through the join, whose rows lose duplicates before terms are made.
+* general: a rule by itself, for other joins, quoted statements and functions.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from ..sources import Context, NESTED, col, is_columnar, scan, source_type
 
 OUT = ("s", "p", "o", "g")
 NEVER_TYPED = {"", "nan", "NaN", "NA", "N/A", "n/a", "None", "none", "null", "NULL", "-"}
+PARENT = "__parent_"
 SCHEMA = "s string, p string, o string, g string"
 
 
@@ -149,7 +151,7 @@ class Compiler:
     def is_narrow(self, r: Rule) -> bool:
         """Plain, and different rows of its references are different statements."""
         maps = [r.subject, r.predicate, r.object, r.graph]
-        return self.is_plain(r) and all(is_injective(m) for m in maps) and not self.ctx.config.only_printable_chars
+        return self.is_plain(r) and all(is_injective(m, self.ctx.config.safe_percent_encoding) for m in maps) and not self.ctx.config.only_printable_chars
 
     def unique(self, r: Rule) -> bool:
         """The subject holds a declared key of the source, so no two rows give one statement."""
@@ -161,6 +163,28 @@ class Compiler:
         rows = self.rows(r.source, references)
         return (rows if self.unique(r) else rows.dropDuplicates()).select(*self.columns(r))
 
+    def is_joined(self, r: Rule) -> bool:
+        """A referencing object map between plain terms, and different rows of the term columns are different statements."""
+        if r.object.kind != "parent" or self.ctx.config.only_printable_chars:
+            return False
+        maps = [r.subject, r.predicate, r.graph, self.parent_subject(r)]
+        return all(m.kind in ("constant", "template", "reference") and is_injective(m, self.ctx.config.safe_percent_encoding) for m in maps)
+
+    def parent_subject(self, r: Rule) -> TermMap:
+        own = self.by_map[r.object.value].subject
+        return TermMap(own.kind, own.value, r.object.termtype or own.termtype, own.call)
+
+    def joined(self, r: Rule) -> DataFrame:
+        m, config, made = r.object, self.ctx.config, self.parent_subject(r)
+        own = list(dict.fromkeys(x for t in (r.subject, r.predicate, r.graph) for x in t.references()))
+        theirs = made.references()
+        keys = [k for _, k in m.joins]
+        parent = self.rows(self.by_map[m.value].source, list(dict.fromkeys(theirs + keys)))
+        parent = parent.select(*(col(k).alias(f"__key{i}") for i, k in enumerate(keys)), *(col(x).alias(PARENT + x) for x in theirs)).dropDuplicates()
+        rows = self.join(self.rows(r.source, r.references()), parent, [(c, f"__key{i}") for i, (c, _) in enumerate(m.joins)])
+        rows = rows.select(*(col(x) for x in own), *(col(PARENT + x) for x in theirs)).dropDuplicates()
+        return rows.select(term(r.subject, config).alias("s"), term(r.predicate, config).alias("p"), term(made, config, PARENT).alias("o"), graph(r.graph, config).alias("g"))
+
     def constant(self, r: Rule) -> DataFrame:
         return self.ctx.spark.range(1).select(*self.columns(r))
 
@@ -190,6 +214,8 @@ class Compiler:
                 return self.constant(r)
             if self.is_narrow(r):
                 return self.narrow(r)
+            if self.is_joined(r):
+                return self.joined(r)
             return self.general(r).dropDuplicates()
         parts, stacks = [], {}
         for r in rules:
