@@ -152,8 +152,11 @@ def sample(docs: DataFrame, share: float = SHARE, temperature: float = TEMPERATU
 
 
 def keep_sampled(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of docs, all columns kept. Rows are told apart by doc_id: of rows sharing one, all stay if one is selected; rows without doc_id go."""
-    chosen = sample(docs, **options).where("selected").select(F.col("doc_id").alias("__id"))
+    """The sampled rows of docs, all columns kept. Rows are told apart by doc_id: of rows sharing one, all stay if one is selected; rows without doc_id go.
+
+    The chosen ids are a fixed share of all, so they are merged with docs at every size, never broadcast.
+    """
+    chosen = sample(docs, **options).where("selected").select(F.col("doc_id").alias("__id")).hint("merge")
     return docs.join(chosen, docs["doc_id"] == chosen["__id"], "left_semi")
 
 
