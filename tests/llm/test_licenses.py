@@ -109,3 +109,34 @@ def test_query_equals_scanning_each_text(spark, sf):
     s = P.Scanner()
     want = sorted(str((r.doc_id, *x)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for x in s.scan(r.text))
     assert sorted(str(tuple(r)) for r in P.query(spark, sf).collect()) == want
+
+
+NEIGHBOURS = {
+    "Released under the BSD License": "BSD statement",
+    "Released under the Apache License.": "Apache statement",
+    "Licensed under CC BY 4.0": "CC-BY-4.0 short statement",
+    "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0 statement",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0 statement",
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0 statement",
+    "Released under the GNU General Public License, version 3.": "GPL-3.0 short statement",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0 long statement",
+    TEMPLATES["GPL-3.0"].replace("version 3", "version 2"): "GPL-2.0",
+    TEMPLATES["GPL-3.0"].replace("GNU General", "GNU Affero General"): "AGPL-3.0",
+}
+
+
+@pytest.mark.parametrize("line", sorted(NEIGHBOURS))
+def test_neighbouring_licenses_are_told_apart(line):
+    rng = random.Random(8)
+    got = P.Scanner().scan(prose(rng, 40) + "\n" + line + "\n" + prose(rng, 40))
+    assert [x[0] for x in got] == [NEIGHBOURS[line]]
+
+
+def test_a_license_without_a_template_is_not_given_as_another():
+    for line in ("Released under the Foo License.", "Licensed under CC BY-XX 4.0.", "Licensed under the Educational Community License, Version 2.0."):
+        assert P.Scanner().scan(line) == []
+
+
+def test_two_licenses_in_one_sentence_are_both_found():
+    got = P.Scanner().scan("Released under the MIT License or the Apache License, Version 2.0.")
+    assert {x[0] for x in got} == {"MIT statement", "Apache-2.0 statement"}

@@ -1,4 +1,7 @@
-"""Templates of well-known public licenses: full texts of short ones, the standard notices of long ones, and one-line statements."""
+"""Templates of well-known public licenses: full texts of short ones, the standard notices of long ones, and one-line statements.
+
+``MUST`` has the phrases that tell a template from its neighbours.
+"""
 
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -30,3 +33,59 @@ Permission is granted to anyone to use this software for any purpose, including
     "CC-BY-SA-4.0 statement": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0 statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
+
+NOTICE = """This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details.
+You should have received a copy of the GNU {kind} along with this {thing}. If not, see <https://www.gnu.org/licenses/>."""
+GNU = {"GPL": "General Public License", "LGPL": "Lesser General Public License", "AGPL": "Affero General Public License"}
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+#: Phrases (of words as in ``common.words``) that a text must hold to be the template.
+MUST: dict[str, tuple[str, ...]] = {
+    "MIT": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
+    "ISC": ("provided that the above copyright notice and this permission notice appear in all copies",),
+    "BSD-3-Clause": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",),
+    "Apache-2.0": ("apache license", "2 0"),
+    "MPL-2.0": ("mozilla public license", "2 0"),
+    "Apache-2.0 statement": ("apache license", "2 0"),
+    "MIT statement": ("mit license",),
+}
+
+# The neighbours that lack a clause of the MIT and ISC texts.
+for _name, _of in (("MIT-0", "MIT"), ("0BSD", "ISC")):
+    TEMPLATES[_name] = TEMPLATES[_of].replace("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "").replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+
+for _short, _version in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")):
+    _name, _kind, _number = f"{_short}-{_version}", GNU[_short], _version.removesuffix(".0")
+    TEMPLATES.setdefault(_name, NOTICE.format(thing="library" if _short == "LGPL" else "program", kind=_kind, version=_number))
+    TEMPLATES.setdefault(f"{_name} statement", f"This work is licensed under the GNU {_kind}, version {_number}.")
+    TEMPLATES[f"{_name} short statement"] = f"Released under the GNU {_kind}, version {_number}."
+    MUST[_name] = MUST[f"{_name} statement"] = MUST[f"{_name} short statement"] = (f"version {_number.replace('.', ' ')}", f"gnu {_kind.lower()}")
+for _short, _kind in GNU.items():
+    TEMPLATES[f"{_short} statement"] = f"Released under the GNU {_kind}."
+    MUST[f"{_short} statement"] = (f"gnu {_kind.lower()}",)
+
+for _short, _kind in CC.items():
+    for _version, _port in (("4.0", "International"), ("3.0", "Unported")):
+        # A name of the older library keeps its form; the other form has a name of its own.
+        _old, _digits = f"CC-{_short}-{_version} statement", _version.replace(".", " ")
+        _line, _long = f"Licensed under CC {_short} {_version}.", f"This work is licensed under a Creative Commons {_kind} {_version} {_port} License."
+        for _text, _form, _phrase in ((_line, "short", f"cc {_short} {_digits}"), (_long, "long", f"creative commons {_kind} {_digits}")):
+            _name = _old if TEMPLATES.get(_old, _text) == _text else f"CC-{_short}-{_version} {_form} statement"
+            TEMPLATES[_name] = _text
+            MUST[_name] = (_phrase.lower().replace("-", " "),)
+
+for _name, _text, _phrases in (
+    ("Apache statement", "Released under the Apache License.", ("apache license",)),
+    ("BSD statement", "Released under the BSD License.", ("bsd",)),
+    ("BSD-2-Clause statement", "Released under the BSD 2-Clause License.", ("bsd 2 clause",)),
+    ("BSD-3-Clause statement", "Released under the BSD 3-Clause License.", ("bsd 3 clause",)),
+    ("ISC statement", "Released under the ISC License.", ("isc license",)),
+    ("Zlib statement", "Released under the zlib License.", ("zlib license",)),
+    ("MPL-2.0 statement", "Licensed under the Mozilla Public License, Version 2.0.", ("mozilla public license", "2 0")),
+    ("MPL statement", "Released under the Mozilla Public License.", ("mozilla public license",)),
+    ("CC0-1.0 statement", "Released under CC0 1.0.", ("cc0 1 0",)),
+    ("CC0-1.0 long statement", "This work is released under the Creative Commons CC0 1.0 Universal Public Domain Dedication.", ("cc0 1 0",)),
+):
+    TEMPLATES[_name] = _text
+    MUST[_name] = _phrases

@@ -2,7 +2,7 @@
 
 Text and template are word sequences. Anchors are the words that occur once in each; the longest increasing subsequence of
 their positions is kept, runs of equal words grow around each anchor, and the gaps between are aligned the same way. The template words matched
-within one dense stretch of the text, over the template's length, are its coverage.
+within one dense stretch of the text, over the template's length, are its coverage. The phrases that tell a template from its neighbours must be among them, whatever the coverage.
 
 Only texts that could reach the coverage are aligned: the words a text shares with a template, each as often as the rarer side has it, are an upper bound.
 """
@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, ready, words
-from .license_texts import TEMPLATES
+from .license_texts import MUST, TEMPLATES
 
 COVERAGE, GAP = 0.8, 12
+WHOLE = 8  # phrases of up to so many words must stand word by word; of longer ones, whole clauses, half the words
 
 
 def _unique(own: list[str], lo: int, hi: int) -> dict[str, int]:
@@ -69,23 +70,34 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def densest(pairs: list[tuple[int, int]], gap: int = GAP) -> list[tuple[int, int]]:
-    """The stretch with most matches in which neighbours are at most ``gap`` text words further apart than in the template."""
-    best, own = [], []
+def stretches(pairs: list[tuple[int, int]], gap: int = GAP) -> list[list[tuple[int, int]]]:
+    """The stretches in which neighbours are at most ``gap`` text words further apart than in the template."""
+    out: list[list[tuple[int, int]]] = []
     for p in pairs:
-        if own and (p[0] - own[-1][0]) - (p[1] - own[-1][1]) > gap:
-            own = []
-        own.append(p)
-        if len(own) > len(best):
-            best = list(own)
-    return best
+        if not out or (p[0] - out[-1][-1][0]) - (p[1] - out[-1][-1][1]) > gap:
+            out.append([])
+        out[-1].append(p)
+    return out
+
+
+def densest(pairs: list[tuple[int, int]], gap: int = GAP) -> list[tuple[int, int]]:
+    """The stretch with most matches."""
+    return max(stretches(pairs, gap), key=len, default=[])
+
+
+def _starts(own: list[str], phrase: list[str]) -> list[int]:
+    n = len(phrase)
+    return [k for k in range(len(own) - n + 1) if own[k] == phrase[0] and own[k : k + n] == phrase]
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, must: dict[str, tuple[str, ...]] = MUST):
         self.templates = {k: words(v) for k, v in sorted(templates.items()) if words(v)}
         self.counts = {k: Counter(v) for k, v in self.templates.items()}
         self.coverage = coverage
+        # A template's phrases: their length and their places in it.
+        phrases = {k: [words(x) for x in must.get(k, ())] for k in self.templates}
+        self.must = {k: [(len(x), at) for x in own if (at := _starts(self.templates[k], x))] for k, own in phrases.items()}
         # To reach the coverage a text must hold one of any (1 - coverage) * length + 1 of the words: the longest ones, here, as those are rare.
         self.rare: dict[str, list[str]] = {}
         for k, v in self.templates.items():
@@ -98,8 +110,25 @@ class Scanner:
             for w in own:
                 self.rare.setdefault(w, []).append(k)
 
+    def places(self, name: str, best: list[tuple[int, int]]) -> set[int] | None:
+        """Places in the text of the template's phrases, none if one is missing or something stands between its words."""
+        at, out = {y: x for x, y in best}, set()
+        for n, starts in self.must[name]:
+            for p in starts:
+                own = [at[y] for y in range(p, p + n) if y in at]
+                if len(own) == n and own[-1] - own[0] == n - 1 or n > WHOLE and 2 * len(own) >= n:
+                    out.update(own)
+                    break
+            else:
+                return None
+        return out
+
+    def best(self, name: str, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The stretch with most matches of those that hold the template's phrases."""
+        return max((x for x in stretches(pairs) if self.places(name, x) is not None), key=len, default=[])
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, last word) of the templates found, by coverage and length; templates whose stretch lies in that of a longer one are left out."""
+        """(license, coverage, first word, last word) of the templates found, by coverage and length; left out are templates whose phrases a longer one explains, or, of those without, whose stretch lies in that of a longer one."""
         low = text.lower() if text else ""
         if not any(w in low for w in self.rare):
             return []
@@ -113,7 +142,7 @@ class Scanner:
             t = self.templates[name]
             if sum(min(n, many[w]) for w, n in self.counts[name].items()) < self.coverage * len(t):
                 continue
-            best = densest(align(own, t))
+            best = self.best(name, align(own, t))
             # A stretch of the text elsewhere may be better than the first alignment: try around each rare word as well.
             tried = set()
             for k, w in enumerate(own):
@@ -124,16 +153,20 @@ class Scanner:
                     if lo // (len(t) + 1) in tried:
                         continue
                     tried.add(lo // (len(t) + 1))
-                    near = densest([(x + lo, y) for x, y in align(own[lo : k + 2 * len(t) + 2 * GAP], t)])
+                    near = self.best(name, [(x + lo, y) for x, y in align(own[lo : k + 2 * len(t) + 2 * GAP], t)])
                     if len(near) > len(best):
                         best = near
             if len(best) >= self.coverage * len(t):
-                found.append((name, round(len(best) / len(t), 4), best[0][0], best[-1][0], len(t)))
-        found.sort(key=lambda x: (-x[4], -x[1], x[0]))
+                found.append((name, round(len(best) / len(t), 4), best, len(t)))
+        found.sort(key=lambda x: (-x[3], -x[1], x[0]))
         out: list[tuple[str, float, int, int]] = []
-        for name, c, lo, hi, _ in found:
-            if not any(x[2] <= lo and hi <= x[3] for x in out):
-                out.append((name, c, lo, hi))
+        taken: list[set[int]] = []
+        for name, c, best, _ in found:
+            lo, hi, own_places = best[0][0], best[-1][0], self.places(name, best)
+            if any(own_places <= x for x in taken) if own_places else any(x[2] <= lo and hi <= x[3] for x in out):
+                continue
+            out.append((name, c, lo, hi))
+            taken.append({x for x, _ in best})
         return out
 
 
