@@ -140,3 +140,22 @@ def test_a_license_without_a_template_is_not_given_as_another():
 def test_two_licenses_in_one_sentence_are_both_found():
     got = P.Scanner().scan("Released under the MIT License or the Apache License, Version 2.0.")
     assert {x[0] for x in got} == {"MIT statement", "Apache-2.0 statement"}
+
+
+@pytest.mark.parametrize("name", ["CC-BY-NC-4.0 statement", "MIT statement", "Apache-2.0 statement", "GPL-3.0 statement", "GPL-3.0", "MIT", "BSD-2-Clause", "Unlicense"])
+@pytest.mark.parametrize("many", [2, 5])
+@pytest.mark.parametrize("between", [0, 5, 60])
+def test_each_copy_is_found(name, many, between):
+    rng = random.Random(9)
+    n, text, want = len(words(TEMPLATES[name])), prose(rng, 100), []
+    for k in range(many):
+        want.append((name, 1.0, 100 + k * (n + between), 99 + k * (n + between) + n))
+        text += "\n" + TEMPLATES[name] + "\n" + prose(rng, between)
+    assert P.Scanner().scan(text + prose(rng, 100)) == want
+
+
+def test_edited_copies_are_found_beside_each_other():
+    line = "Licensed hereby under CC BY-NC 4.0."
+    assert [x[2:] for x in P.Scanner().scan("some prose before\n" + (line + "\n") * 3 + "and some after")] == [(3 + 8 * k, 10 + 8 * k) for k in range(3)]
+    lines = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0."]
+    assert [x[0] for x in sorted(P.Scanner().scan("\n".join(lines * 2)), key=lambda x: x[2])] == ["CC-BY-NC-4.0 statement", "CC-BY-SA-4.0 statement"] * 2

@@ -1,7 +1,8 @@
 """License scans by patience alignment.
 
 Text and template are word sequences. Anchors are the words that occur once in each; the longest increasing subsequence of
-their positions is kept, runs of equal words grow around each anchor, and the gaps between are aligned the same way. The template words matched
+their positions is kept, runs of equal words grow around each anchor, and the gaps between are aligned the same way; small gaps without such a word by
+their longest common subsequence. A text is cut where a template word comes again, and aligned outward from each place of it, so every copy is found. The template words matched
 within one dense stretch of the text, over the template's length, are its coverage. The phrases that tell a template from its neighbours must be among them, whatever the coverage.
 
 Only texts that could reach the coverage are aligned: the words a text shares with a template, each as often as the rarer side has it, are an upper bound.
@@ -19,6 +20,7 @@ from .common import read, ready, words
 from .license_texts import MUST, TEMPLATES
 
 COVERAGE, GAP = 0.8, 12
+SMALL = 600  # cells of a gap's table of common subsequences
 WHOLE = 8  # phrases of up to so many words must stand word by word; of longer ones, whole clauses, half the words
 
 
@@ -29,6 +31,24 @@ def _unique(own: list[str], lo: int, hi: int) -> dict[str, int]:
     return {w: k for w, k in seen.items() if k >= 0}
 
 
+def _common(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of a[a0:a1] and b[b0:b1], its places in a as early as can be."""
+    n, m = a1 - a0, b1 - b0
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        own, below, x = best[i], best[i + 1], a[a0 + i]
+        for j in range(m - 1, -1, -1):
+            own[j] = below[j + 1] + 1 if x == b[b0 + j] else max(below[j], own[j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m and best[i][j]:
+        k = next((k for k in range(j, m) if a[a0 + i] == b[b0 + k] and best[i + 1][k + 1] + 1 == best[i][j]), -1)
+        if k >= 0:
+            out.append((a0 + i, b0 + k))
+            j = k + 1
+        i += 1
+    return out
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched (place in a, place in b), increasing in both."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -46,6 +66,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         in_a = _unique(a, a0, a1)
         both = sorted((k, in_b[w]) for w, k in in_a.items() if w in in_b)
         if not both:
+            if (a1 - a0) * (b1 - b0) <= SMALL:
+                out += _common(a, b, a0, a1, b0, b1)
             continue
         # Patience: the least last element of increasing runs of each length, with back links.
         tops, at, back = [], [], [-1] * len(both)
@@ -98,6 +120,13 @@ class Scanner:
         # A template's phrases: their length and their places in it.
         phrases = {k: [words(x) for x in must.get(k, ())] for k in self.templates}
         self.must = {k: [(len(x), at) for x in own if (at := _starts(self.templates[k], x))] for k, own in phrases.items()}
+        # The places of a template from which it's aligned outward: of its phrase that comes least often, or else of all its rare words.
+        self.anchors: dict[str, list[tuple[list[str], list[int]]]] = {}
+        for k, own in self.must.items():
+            short = [(len(at), n, at) for n, at in own if n <= WHOLE]
+            if short:
+                _, n, at = min(short, key=lambda x: (x[0], -x[1]))
+                self.anchors[k] = [(self.templates[k][at[0] : at[0] + n], at)]
         # To reach the coverage a text must hold one of any (1 - coverage) * length + 1 of the words: the longest ones, here, as those are rare.
         self.rare: dict[str, list[str]] = {}
         for k, v in self.templates.items():
@@ -109,6 +138,7 @@ class Scanner:
                 room -= self.counts[k][w]
             for w in own:
                 self.rare.setdefault(w, []).append(k)
+            self.anchors.setdefault(k, [([w], _starts(v, [w])) for w in own])
 
     def places(self, name: str, best: list[tuple[int, int]]) -> set[int] | None:
         """Places in the text of the template's phrases, none if one is missing or something stands between its words."""
@@ -123,12 +153,63 @@ class Scanner:
                 return None
         return out
 
-    def best(self, name: str, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The stretch with most matches of those that hold the template's phrases."""
-        return max((x for x in stretches(pairs) if self.places(name, x) is not None), key=len, default=[])
+    def _whole(self, name: str, pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+        """The stretches that reach the coverage and hold the template's phrases."""
+        least = self.coverage * len(self.templates[name])
+        return [x for x in stretches(pairs) if len(x) >= least and self.places(name, x) is not None]
+
+    def copies(self, name: str, own: list[str], exact: bytearray, held: bytearray) -> list[list[tuple[int, int]]]:
+        """The template's stretches in a text, those with most matches first where they overlap, by place.
+
+        A stretch that reaches the coverage holds an anchor, so the text is aligned outward from each place of each, up to where the anchor belongs to another copy.
+        Words in ``exact`` copies of longer templates are theirs, and for a template without phrases those in any copy of one (``held``); what is found is added to both.
+        """
+        t = self.templates[name]
+        found = self._whole(name, align(own, t))
+        where: dict[str, list[int]] = {}
+        for k, w in enumerate(own):
+            where.setdefault(w, []).append(k)
+        done = bytearray(exact if self.must[name] else held)
+
+        def mark(x: list[tuple[int, int]], way: bytearray) -> None:
+            way[x[0][0] : x[-1][0] + 1] = b"\1" * (x[-1][0] + 1 - x[0][0])
+
+        for x in found:
+            if len(x) == len(t) == x[-1][0] + 1 - x[0][0]:
+                mark(x, done)
+        for phrase, at in self.anchors[name]:
+            n = len(phrase)
+            starts = [k for k in where.get(phrase[0], ()) if own[k : k + n] == phrase]
+            for i, k in enumerate(starts):
+                if done[k]:
+                    continue
+                for j, p in enumerate(at):
+                    first = starts[i - j - 1] + n if i > j else 0
+                    last = starts[i + len(at) - j] if i + len(at) - j < len(starts) else len(own)
+                    for wide in (1, 2):
+                        lo, hi = max(first, k - wide * (p + GAP)), min(last, k + n + wide * (len(t) - p - n + GAP))
+                        # None, which equals no word, keeps the far ends from being matched as ends.
+                        left = [(k - 1 - x, p - 1 - y) for x, y in align([*own[lo:k][::-1], None], t[:p][::-1])][::-1]
+                        right = [(k + n + x, p + n + y) for x, y in align([*own[k + n : hi], None], t[p + n :])]
+                        got = [x for x in self._whole(name, left + [(k + m, p + m) for m in range(n)] + right) if x[0][0] <= k <= x[-1][0]]
+                        found += got
+                        for x in got:
+                            mark(x, done)
+                        if got or wide == 1 and 2 * (len(left) + n + len(right)) < self.coverage * len(t):
+                            break
+        found.sort(key=lambda x: (-len(x), x[-1][0] - x[0][0], x[0][0]))
+        out: list[list[tuple[int, int]]] = []
+        for x in found:
+            at = bisect_left(out, x[0][0], key=lambda o: o[-1][0])
+            if at == len(out) or out[at][0][0] > x[-1][0]:
+                out.insert(at, x)
+                mark(x, held)
+                if len(x) == len(t) == x[-1][0] + 1 - x[0][0]:
+                    mark(x, exact)
+        return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, last word) of the templates found, by coverage and length; left out are templates whose phrases a longer one explains, or, of those without, whose stretch lies in that of a longer one."""
+        """(license, coverage, first word, last word) of each copy of the templates found, by length, coverage and place; left out are templates whose phrases a longer one explains, or, of those without, whose stretch lies in that of a longer one."""
         low = text.lower() if text else ""
         if not any(w in low for w in self.rare):
             return []
@@ -136,42 +217,28 @@ class Scanner:
         have = self.rare.keys() & set(own)
         if not have:
             return []
-        many, found = None, []
-        for name in sorted({k for w in have for k in self.rare[w]}):
+        many, found, exact, held = None, [], None, None
+        for name in sorted({k for w in have for k in self.rare[w]}, key=lambda k: (-len(self.templates[k]), k)):
             many = many or Counter(own)
+            exact, held = exact or bytearray(len(own)), held or bytearray(len(own))
             t = self.templates[name]
             if sum(min(n, many[w]) for w, n in self.counts[name].items()) < self.coverage * len(t):
                 continue
-            best = self.best(name, align(own, t))
-            # A stretch of the text elsewhere may be better than the first alignment: try around each rare word as well.
-            tried = set()
-            for k, w in enumerate(own):
-                if len(best) == len(t):
-                    break
-                if name in self.rare.get(w, ()):
-                    lo = max(0, k - len(t) - GAP)
-                    if lo // (len(t) + 1) in tried:
-                        continue
-                    tried.add(lo // (len(t) + 1))
-                    near = self.best(name, [(x + lo, y) for x, y in align(own[lo : k + 2 * len(t) + 2 * GAP], t)])
-                    if len(near) > len(best):
-                        best = near
-            if len(best) >= self.coverage * len(t):
-                found.append((name, round(len(best) / len(t), 4), best, len(t)))
-        found.sort(key=lambda x: (-x[3], -x[1], x[0]))
+            found += [(name, round(len(x) / len(t), 4), x, len(t)) for x in self.copies(name, own, exact, held)]
+        found.sort(key=lambda x: (-x[3], -x[1], x[0], x[2][0][0]))
         out: list[tuple[str, float, int, int]] = []
-        taken: list[set[int]] = []
+        taken: set[int] = set()
         for name, c, best, _ in found:
             lo, hi, own_places = best[0][0], best[-1][0], self.places(name, best)
-            if any(own_places <= x for x in taken) if own_places else any(x[2] <= lo and hi <= x[3] for x in out):
+            if own_places <= taken if own_places else any(x[2] <= lo and hi <= x[3] for x in out):
                 continue
             out.append((name, c, lo, hi))
-            taken.append({x for x, _ in best})
+            taken.update(x for x, _ in best)
         return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, license, coverage, first_word, last_word): a row for each license found in each row of docs; none for null or empty texts and texts without a license. Repeated
+    """(doc_id, license, coverage, first_word, last_word): a row for each copy of a license in each row of docs; none for null or empty texts and texts without a license. Repeated
     rows give repeated results. The templates are a fixed library. Other columns are ignored."""
     ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
