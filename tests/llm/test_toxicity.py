@@ -111,3 +111,14 @@ def test_query_agrees_with_the_labels(spark, sf):
     got = {r.doc_id: r.toxic for r in T.query(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
     assert np.mean([got[r.doc_id] == bool(r.toxic) for r in labels if r.doc_id in got]) > 0.97
+
+
+@pytest.mark.parametrize("bent", ["b l o r g a t.", "b l o r g a t! x", '"b l o r g a t"', "b l o r g a t, you", "b, l, o, r, g, a, t", "blo rgat", "blorg at.", "(sku mrik)"])
+def test_spaced_and_split_insults_are_seen_through(model, bent):
+    clean = prose(random.Random(8), 30)
+    score = T.Scorer(model).texts([f"{clean} {bent} {clean}", clean, "a b c. x, y z"])
+    assert score[0] >= model.threshold > max(score[1:])
+
+
+def test_three_spaced_letters_are_a_run():
+    assert "abc" in T.spaced("so a b c! dog") and "xyz" in T.spaced("so 'x. y. z'") and T.spaced("it is a b") == set()

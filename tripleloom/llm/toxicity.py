@@ -1,6 +1,7 @@
 """Toxicity by a gap-weighted subsequence string kernel, a support vector machine and Nyström landmarks.
 
-The kernel compares short units (words, and runs of single letters joined: ``i d i o t``).
+The kernel compares short units (words, and runs of single letters joined: ``i d i o t``, with punctuation between and around them; when texts
+are scored, also short words joined with their neighbours in the sentence: ``id iot``).
 Its features are all subsequences of ``P`` symbols that fit in a window of ``WINDOW`` symbols,
 each gap symbol costing a factor ``DECAY``; so ``idxiot`` and ``id.iot`` stay close to ``idiot``.
 A sentence's score is the largest of its units' scores, a document's the largest of its sentences'
@@ -29,10 +30,13 @@ from .common import ready
 
 P, WINDOW, DECAY, SYMBOLS, LONGEST = 3, 6, 0.55, 48, 16
 SENTENCE = re.compile(r"[.!?\n]+")
-SPACED = re.compile(r"(?<!\S)(?:\w[\s.*_-]+){3,}\w(?!\S)")
+SPACED = re.compile(r"(?<![^\W_])(?<![@$])[^\W_](?:(?:[^\w@$]|_)+(?:[^\W_]|[@$])){2,}(?![^\W_]|[@$])")
+STOP = re.compile(r"[.!?;:]+\s+")
+ENDS = (".", "!", "?")
+BRIEF, JOINED = 3, 16  # a word of up to so many letters is joined with its neighbours, up to so many characters
+JOINS_WRONGLY = 1000
 LEET = str.maketrans("013457@$", "oieastas")
-SEPARATORS = re.compile(r"[\s.*_-]+")
-LOOSE = re.compile(r"[.*_-]*(?:[^\W_][.*_-]+)*[^\W_]?")  # a superset of the tokens that a match of SPACED holds
+SEPARATORS = re.compile(r"(?:[^\w@$]|_)+")
 NOT_LETTER = re.compile(r"[\W\d_]+")
 CACHE = 600_000
 RIDGE = 0.1
@@ -46,15 +50,33 @@ def unit(token: str) -> str:
     return NOT_LETTER.sub("", core.translate(LEET) if any(c.isalpha() for c in core) else "")
 
 
-def tokens(text: str) -> set[str]:
-    """Distinct raw tokens of a text, with runs of spaced-out letters joined as further tokens."""
-    low = text.lower()
-    out = set(low.split())
+def spaced(low: str) -> set[str]:
+    """Runs of spaced-out letters joined: whole, and the parts between stops, for the last letter of a sentence may stand before another."""
+    out = set()
     for run in SPACED.findall(low):
         out.add(SEPARATORS.sub("", run))
+        out.update(SEPARATORS.sub("", x) for x in STOP.split(run))
     return out
 
 
+def joins(own: list[str], brief: set[str]) -> set[str]:
+    """Tokens of ``brief`` joined with the one before and the one after, within sentences."""
+    out, last = set(), len(own) - 1
+    for k, t in enumerate(own):
+        if t in brief:
+            if k and not own[k - 1].endswith(ENDS) and len(own[k - 1]) + len(t) <= JOINED:
+                out.add(own[k - 1] + t)
+            if k < last and not t.endswith(ENDS) and own[k + 1] not in brief and len(own[k + 1]) + len(t) <= JOINED:
+                out.add(t + own[k + 1])
+    return out
+
+
+def tokens(text: str) -> set[str]:
+    """Distinct raw tokens of a text, with runs of spaced-out letters joined as further tokens."""
+    low = text.lower()
+    return set(low.split()) | spaced(low)
+
+
 @lru_cache(None)
 def _code_table() -> np.ndarray:
     table = np.array([28 + c * 7 % (SYMBOLS - 28) for c in range(0x500)], np.int64)
@@ -113,6 +135,7 @@ class Model:
     weight: np.ndarray  # float32 [SYMBOLS ** P]
     bias: float
     threshold: float
+    margin: float = 0.0  # how much further above the threshold joins of short words must be
 
     def score(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), -np.inf, np.float32)
@@ -165,11 +188,23 @@ def _threshold(toxic: np.ndarray, clean: np.ndarray, wrongly: float = 10.0) -> f
     return float(below[k] + (cuts[k] - below[k]) / 4)
 
 
+def _joined(texts: list[str], model: Model, least: float = -np.inf):
+    """For each text its joins' units with scores of at least ``least``; a few texts at a time, as joins are many."""
+    for lo in range(0, len(texts), 200):
+        own = [x.lower().split() for x in texts[lo : lo + 200]]
+        brief = {t for t in set().union(*own) if 0 < len(unit(t)) <= BRIEF}
+        sets = [{u for t in joins(x, brief) if len(u := unit(t)) >= 3} for x in own]
+        units = sorted(set().union(*sets))
+        high = {u: v for u, v in zip(units, model.score(units).tolist()) if v >= least}
+        yield from ({u: high[u] for u in x if u in high} for x in sets)
+
+
 def train(texts: list[str], labels: list[int], landmarks: int = 160, seed: int = 7, rounds: int = 3) -> Model | None:
     """Fit on labelled texts. Units seen in clean texts are negatives; each toxic text's witnesses, chosen again each round, are positives. None if a class is missing."""
     one: dict[str, str] = {}  # one string for all places of a unit
     docs = [tuple({one.setdefault(u, u) for t in tokens(x or "") if len(u := unit(t)) >= 3}) for x in texts]  # distinct units; a tuple takes a sixth of a set
     toxic, clean = [d for d, y in zip(docs, labels) if y and d], [d for d, y in zip(docs, labels) if not y and d]
+    clean_texts = [x for x, d, y in zip(texts, docs, labels) if not y and d]
     if not toxic or not clean:
         return None
     bad: dict[str, int] = {}
@@ -190,8 +225,9 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, seed: int =
     rng = np.random.default_rng(seed)
     background = sorted(good)
     pool = [background[i] for i in rng.permutation(len(background))[:6000]]
-    score, model, hard = first, None, []
-    every = sorted(set(only) | good)
+    score, model, hard, near = first, None, [], []
+    only_set = set(only)
+    every = sorted(only_set | good)
     for r in range(rounds):
         least = 2 if r == 0 else 0
         witness: dict[str, int] = {}
@@ -204,7 +240,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, seed: int =
         pos = sorted(witness, key=lambda u: (-witness[u], u))[:3000]
         if not pos:
             break
-        neg = sorted(set(pool) | set(hard))
+        neg = sorted(set(pool) | set(hard) | (set(near) - set(pos)))
         z = pos[: landmarks // 2]
         z += [hard[i] if i < len(hard) else neg[int(k)] for i, k in enumerate(rng.choice(len(neg), min(len(neg), landmarks - len(z)), replace=False))]
         z = list(dict.fromkeys(z))
@@ -227,10 +263,15 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, seed: int =
         all_scores = dict(zip(every, got.tolist()))
         score = {u: all_scores[u] for u in only}
         hard = sorted(good, key=lambda u: (-all_scores[u], u))[:3000]
+        if r < rounds - 1:  # joins in clean texts are negatives as well: all that come near the witnesses
+            near = sorted({u for x in _joined(clean_texts, model, -0.5) for u in x if u not in only_set} | set(near))
     if model is None:
         return None
     of = lambda ds: np.array([max(all_scores[u] for u in d) for d in ds])
     model.threshold = _threshold(of(toxic), of(clean))
+    # Joins are many, and some in clean texts look like a witness by chance: all but one clean text in JOINS_WRONGLY must stay below.
+    top = sorted((max(x.values(), default=-np.inf) for x in _joined(clean_texts, model)), reverse=True)
+    model.margin = float(max(0.0, top[len(top) // JOINS_WRONGLY] - model.threshold + 1e-3))
     return model
 
 
@@ -259,7 +300,7 @@ class Scorer:
     def forget(self) -> None:
         self.seen: set[str] = set()
         self.short: set[str] = set()  # tokens without a unit of three letters
-        self.loose: set[str] = set()  # tokens that may be part of a spaced-out word
+        self.brief: set[str] = set()  # tokens of one to BRIEF letters
         self.hot: dict[str, float] = {}
         self.hot_tokens: set[str] = set()
 
@@ -268,14 +309,16 @@ class Scorer:
         for t in new:
             if t.isalpha() and len(t) >= 3:  # most are: their own unit, and not loose
                 by[t].append(t)
+                if len(t) <= BRIEF:
+                    self.brief.add(t)
                 continue
             u = unit(t)
             if len(u) >= 3:
                 by[u].append(t)
             else:
                 self.short.add(t)
-            if LOOSE.fullmatch(t):
-                self.loose.add(t)
+            if 0 < len(u) <= BRIEF:
+                self.brief.add(t)
         own = list(by)
         got = self.model.score(own)
         for k in np.flatnonzero(got > self.floor).tolist():
@@ -286,23 +329,24 @@ class Scorer:
 
     def texts(self, texts: list[str]) -> list[float]:
         low = [x.lower() for x in texts]
-        sets = [set(x.split()) for x in low]
+        lists = [x.split() for x in low]
+        sets = [set(x) for x in lists]
         new = set().union(*sets)
         if len(self.seen) > CACHE:
             self.forget()
         self.learn(new - self.seen)
         more: set[str] = set()
-        for x, s in zip(low, sets):
-            if not s.isdisjoint(self.loose):
-                joined = [SEPARATORS.sub("", run) for run in SPACED.findall(x)]
-                s.update(joined)
-                more.update(joined)
+        pairs: list[set[str]] = []
+        for x, own, s in zip(low, lists, sets):
+            s.update(runs := spaced(x))
+            pairs.append(joins(own, self.brief) - s)
+            more.update(runs, pairs[-1])
         if more:
             self.learn(more - self.seen)
         out = []
-        for s in sets:
-            hot = s & self.hot_tokens
-            out.append(max(self.hot[t] for t in hot) if hot else -np.inf if s <= self.short else self.floor)
+        for s, p in zip(sets, pairs):
+            hot = [self.hot[t] for t in s & self.hot_tokens] + [self.hot[t] - self.model.margin for t in p & self.hot_tokens]
+            out.append(max(*hot, self.floor) if hot else -np.inf if s <= self.short and p <= self.short else self.floor)
         return out
 
 
@@ -311,7 +355,7 @@ _SCORERS: dict[bytes, Scorer] = {}
 
 def scorer(model: Model) -> Scorer:
     """The scorer of this model in this Python process, which outlives a task."""
-    key = xxhash.xxh128_digest(model.weight.tobytes() + repr((model.bias, model.threshold)).encode())
+    key = xxhash.xxh128_digest(model.weight.tobytes() + repr((model.bias, model.threshold, model.margin)).encode())
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = Scorer(model)
