@@ -17,23 +17,31 @@ def distance(a, b):
 
 
 def brute(rows):
-    """{doc_id: group} by comparing all pairs."""
-    sig = {d: S.signature(t) for d, t in rows}
-    root = {d: d for d, _ in rows}
+    """For rows (doc_id, text): (group, links) of each by comparing all pairs of rows; a group is named by the place of its kept row."""
+    sig = [S.signature(t) for _, t in rows]
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def top(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = [d for d in sig if sig[d] is not None]
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            x, y = sig[a], sig[b]
-            if distance(x, y) <= S.RADIUS and min(x[1], y[1]) >= S.RATIO * max(x[1], y[1]):
-                lo, hi = sorted((top(a), top(b)))
-                root[hi] = lo
-    return {d: top(d) for d, _ in rows}
+    for k, x in enumerate(sig):
+        for j, y in enumerate(sig[:k]):
+            if x is not None and y is not None and distance(x, y) <= S.RADIUS and min(x[1], y[1]) >= S.RATIO * max(x[1], y[1]):
+                links[k] += 1
+                links[j] += 1
+                root[max(top(k), top(j))] = min(top(k), top(j))
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(top(k), []).append(k)
+    kept = {g: min(own, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)) for g, own in groups.items()}
+    return [(kept[top(k)], links[k], len(groups[top(k)])) for k in range(len(rows))]
+
+
+def by_id(rows):
+    """{doc_id: (group_id, n_links, group_size, keep)} for rows of unique ids."""
+    return {d: (rows[g][0], n, size, g == k) for k, ((d, _), (g, n, size)) in enumerate(zip(rows, brute(rows)))}
 
 
 def corpus(rng, n=120):
@@ -48,16 +56,42 @@ def corpus(rng, n=120):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("tile", [7, S.TILE])
-def test_groups_equal_brute_force(spark, documents, tile, monkeypatch):
-    monkeypatch.setattr(S.edges, "__defaults__", (tile, S.RADIUS, S.RATIO))
+def found(df):
+    return {r.doc_id: (r.group_id, r.n_links, r.group_size, r.keep) for r in df.collect()}
+
+
+@pytest.mark.parametrize("tile", [20, S.TILE])
+def test_groups_equal_brute_force(documents, tile):
     rows = corpus(random.Random(1))
-    got = {r.doc_id: r for r in S.groups(documents(rows)).collect()}
-    want = brute(rows)
-    assert {d: r.group_id for d, r in got.items()} == want
-    sizes = {g: list(want.values()).count(g) for g in want.values()}
-    assert all(r.group_size == sizes[r.group_id] and r.keep == (r.group_id == d) for d, r in got.items())
-    assert len(set(want.values())) < len(rows) - 40
+    want = by_id(rows)
+    assert found(S.groups(documents(rows), tile=tile)) == want
+    assert sum(w[3] for w in want.values()) < len(rows) - 40
+
+
+def test_a_small_radius_skips_tile_pairs():
+    """All pairs within the radius lie in a tile pair that is compared; others are skipped."""
+    rng = np.random.default_rng(1)
+    hist = [(b, p, int(n)) for b in (3, 4, 6) for p, n in enumerate(rng.integers(0, 9, 80)) if n]
+    table, pairs = S.tiles(hist, 5, 4)
+    place = {(b, p): tuple(r) for b, p, *r in table}
+    assert pairs < len({(b, t) for (b, _), r in place.items() for t in range(r[0], r[0] + r[1])}) ** 2 / 8
+    for (b, p), (first, many, lo, hi, nlo, nhi, plo, phi) in place.items():
+        for (c, q), (other, k, *_) in place.items():
+            a, z = {b: (lo, hi), b + 1: (nlo, nhi), b - 1: (plo, phi)}.get(c, (0, -1))
+            if abs(p - q) <= 4 and abs(b - c) <= 1:
+                assert a <= other and other + k - 1 <= z
+            if c == b:
+                assert (a <= other <= z) == (place[c, q][2] <= first <= place[c, q][3])
+
+
+def test_shared_ids_repeated_rows_and_no_ids(spark, documents):
+    rng = random.Random(9)
+    a, b = prose(rng, 50), prose(rng, 50)
+    rows = [(1, a), (7, "a quite different unique text"), (7, a), (8, b), (8, b), (None, b), (None, "only this text has no id"), (None, "only this text has no id"), (2**60 + 1, prose(rng, 50)), (2**60 + 3, prose(rng, 50))]
+    kept = sorted(map(str, ((r.doc_id, r.text) for r in S.drop_copies(documents(rows)).collect())))
+    assert kept == sorted(map(str, [rows[k] for k in (0, 1, 3, 6, 8, 9)]))
+    got = sorted(map(str, ((r.doc_id, r.group_id, r.n_links, r.group_size) for r in S.groups(documents(rows)).collect())))
+    assert got == sorted(str((d, rows[g][0], n, size)) for (d, _), (g, n, size) in zip(rows, brute(rows)))
 
 
 def test_near_copies_are_found_and_strangers_not():
@@ -91,17 +125,18 @@ def test_components_of_chains(spark):
 
 
 def test_odd_input(messy, nothing):
-    got = {r.doc_id: r for r in S.groups(messy).collect()}
-    assert sorted(got) == list(range(1, 11))
+    rows = S.groups(messy).collect()
+    assert len(rows) == messy.count()
+    got = {r.doc_id: r for r in rows}
     assert got[5].group_id == 4 and got[4].group_size == 2 and got[4].keep and not got[5].keep
-    assert all(got[k].group_id == k for k in (1, 2, 3, 9))
+    assert all(got[k].group_id == k and got[k].n_links == 0 for k in (1, 2, 3, 9))
     kept = S.drop_copies(messy)
     assert kept.columns == messy.columns
-    assert kept.where("doc_id is null").count() == 3 and kept.where("doc_id = 6").count() == 2 and kept.where("doc_id = 5").count() == 0
+    assert kept.where("doc_id is null").count() == 2 and kept.where("doc_id = 6").count() == 1 and kept.where("doc_id = 7").count() == 2 and kept.where("doc_id = 5").count() == 0
     assert S.groups(nothing).count() == 0 == S.drop_copies(nothing).count()
 
 
 def test_query_covers_the_table(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
-    assert {r.doc_id: r.group_id for r in S.query(spark, d).collect()} == brute(rows)
+    assert found(S.query(spark, d)) == by_id(rows)

@@ -9,17 +9,23 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); only where that is unset, as in tests, a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one if everything runs in one process (master ``local[...]``, as in tests); on a cluster an error, for no folder of one machine would do."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tripleloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        where = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tripleloom-"))
     return where.rstrip("/")
 
 
@@ -32,6 +38,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df with a number for each row, written once so that the numbers hold, and the name of their column. Rows are told apart by it where ids are null or shared."""
+    number = fresh("number", df.columns)
+    return cut(df.withColumn(number, F.monotonically_increasing_id()), name), number
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that cut() wrote, once nothing will read it again."""
     spark = df.sparkSession

@@ -6,15 +6,20 @@ the shorter is at least ``RATIO`` of the longer's. Unrelated texts differ in abo
 56 lies 9 deviations off, while copies with a twentieth of the words replaced differ in about 45.
 
 Every pair that can qualify is compared: word counts are cut into bands a factor ``1 / RATIO`` wide, of which only
-neighbours can hold near duplicates; a band is cut into a grid of tiles, and each pair of tiles is one task. Within it, rows
-are sorted by population count; strips whose population counts differ by more than the radius are skipped (the difference is
-a lower bound of the distance). Each task gives a spanning forest of the pairs it found, not the pairs, so a group of thousands of copies
-costs thousands of rows. Star contraction joins the forests into groups.
+neighbours can hold near duplicates. The distinct signatures of a band are ordered by population count and cut into tiles; each pair of tiles is
+one task, and pairs of tiles whose population counts differ by more than the radius are left out (the difference is a lower bound of the distance), as are
+strips inside a task. A task gives, for each row that has a near duplicate in it, the number of these and a node of its component,
+never the pairs, so a group of thousands of copies costs thousands of rows. Star contraction joins the tasks' components into groups.
+
+Rows are told apart by a number of their own, so null, shared and repeated doc_ids change nothing.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, read, ready, words
+from .common import cut, numbered, read, ready, words
+from .graph import Forest, components
 
-RADIUS, RATIO, TILE, ROWS, STRIP = 56, 0.7, 65_536, 64, 2048
+RADIUS, RATIO, TILE, ROWS, STRIP = 56, 0.7, 16_384, 64, 2048
 WORDS = ("s0", "s1", "s2", "s3")
 
 
@@ -53,29 +59,30 @@ def signature(text: str | None) -> tuple[np.ndarray, int] | None:
     return np.packbits(total * 2 > weight.sum(), bitorder="little").view(np.uint64), len(own)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, s0..s3, n_words), without documents that have no words."""
+def signatures(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """(r, doc_id, s0..s3, n_words) for every row of docs; r is the column ``number`` or, if there is none, a new number. Signature and word count are null for texts without words."""
     ready(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            got = [signature(t) for t in b.column(1).to_pylist()]
-            ok = pa.array([k for k, x in enumerate(got) if x is not None], pa.int64())
-            rows = np.array([x[0] for x in got if x is not None], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.record_batch([b.column(0).take(ok), *(pa.array(rows[:, j]) for j in range(4)), pa.array([x[1] for x in got if x is not None], pa.int64())], names=["doc_id", *WORDS, "n_words"])
+            got = [signature(t) for t in b.column(2).to_pylist()]
+            mask = np.array([x is None for x in got], bool)
+            rows = np.array([x[0] if x is not None else np.zeros(4, np.uint64) for x in got], np.uint64).reshape(-1, 4).view(np.int64)
+            count = pa.array(np.array([x[1] if x is not None else 0 for x in got], np.int64), mask=mask)
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(rows[:, j]), mask=mask) for j in range(4)), count], names=["r", "doc_id", *WORDS, "n_words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s0 long, s1 long, s2 long, s3 long, n_words long")
+    r = F.col(number) if number else F.monotonically_increasing_id()
+    return docs.select(r.alias("r"), "doc_id", "text").mapInArrow(run, f"r long, doc_id {kind}, s0 long, s1 long, s2 long, s3 long, n_words long")
 
 
-def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bool, radius: int = RADIUS, ratio: float = RATIO):
-    """Pairs (rows of a, rows of b) within the radius and the ratio of word counts; each pair once where a and b are the same."""
+def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bool, radius: int = RADIUS, ratio: float = RATIO) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (rows of a, rows of b) within the radius and the ratio of word counts, a block at a time; each pair once where a and b are the same."""
     pa_, pb = np.bitwise_count(a).sum(1, dtype=np.int32), np.bitwise_count(b).sum(1, dtype=np.int32)
     oa, ob = np.argsort(pa_, kind="stable"), np.argsort(pb, kind="stable")
     sa, sb = pa_[oa], pb[ob]
     cols = [np.ascontiguousarray(b[ob, j]) for j in range(4)]
     buf, cnt, sums = np.empty((ROWS, STRIP), np.uint64), np.empty((ROWS, STRIP), np.uint8), np.empty((ROWS, STRIP), np.uint16)
-    left, right = [], []
     for i in range(0, len(oa), ROWS):
         x = a[oa[i : i + ROWS]]
         lo, hi = np.searchsorted(sb, sa[i] - radius), np.searchsorted(sb, sa[min(i + ROWS, len(oa)) - 1] + radius, "right")
@@ -90,110 +97,132 @@ def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bo
                 np.add(s, c, out=s) if j else np.copyto(s, c)
             if s.min() <= radius:
                 r, q = np.nonzero(s <= radius)
-                left.append(r + i)
-                right.append(q + k)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    r, q = np.concatenate(left), np.concatenate(right)
-    if same:
-        ok = q > r
-        r, q = r[ok], q[ok]
-    r, q = oa[r], ob[q]
-    ok = np.minimum(na[r], nb[q]) >= ratio * np.maximum(na[r], nb[q])
-    return r[ok], q[ok]
-
-
-def forest(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-    """For edges u-v of ids: (node, root) of every node that is not the least of its component."""
-    ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)], flat[len(u) :]
-    root = np.arange(len(ids))
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while (up := root[root]).tolist() != root.tolist():
-            root = up
-        more = root[a] != root[b]
-        a, b = a[more], b[more]
-    own = root != np.arange(len(ids))
-    return pd.DataFrame({"node": ids[own], "root": ids[root[own]]})
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least id of the component of each node but the least itself. Alternating large-star and small-star steps until nothing changes."""
-    edges = cut(edges.where("node <> root").select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        low = both.groupBy("node").agg(F.min("root").alias("low")).withColumn("low", F.least("low", "node"))
-        large = both.join(low, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).where("node <> root").distinct()
-        low = large.groupBy("node").agg(F.min("root").alias("low"))
-        small = large.join(low, "node").select(F.when(F.col("root") == F.col("low"), F.col("node")).otherwise(F.col("root")).alias("node"), F.col("low").alias("root")).where("node <> root").distinct()
-        old, edges = edges, cut(small, "edges")
-        forget(old)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges
-        before = now
-
-
-def edges(sigs: DataFrame, tile: int = TILE, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
-    """(node, root): forests over near duplicates. Documents with one signature and word count are joined first, so that only distinct ones are compared."""
-    key = [*WORDS, "n_words"]
-    own = cut(sigs.groupBy(*key).agg(F.min("doc_id").alias("id")), "signatures")
-    copies = sigs.join(own, key).where("doc_id <> id").select(F.col("doc_id").alias("node"), F.col("id").alias("root"))
-    own = own.withColumn("band", F.floor(F.ln("n_words") / F.lit(-math.log(ratio))).cast("int"))
-    grid = {b: max(1, math.ceil(n / tile)) for b, n in own.groupBy("band").count().collect()}  # a row per band: some 30
-    sizes = F.create_map(*(F.lit(x) for b, g in grid.items() for x in (b, g))) if grid else F.create_map(F.lit(0), F.lit(1))
-    of = lambda b: F.coalesce(sizes[b], F.lit(0))
-    row = own.withColumn("part", F.pmod(F.xxhash64("id"), of(F.col("band"))).cast("int"))
-    steps = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    col = ["id", *key]
-    # Task (band, i, j): parts i <= j of the band with each other; task (band, i, -1 - j): part i with part j of the next band.
-    inner = row.select(*col, "band", "part", F.explode(steps(of(F.col("band")))).alias("other")).select(*col, "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("second"))
-    down = row.select(*col, "band", F.col("part").alias("i"), F.explode(steps(of(F.col("band") + 1))).alias("o")).select(*col, "band", "i", (-1 - F.col("o")).alias("j"), F.lit(False).alias("second"))
-    up = row.select(*col, (F.col("band") - 1).alias("band"), F.explode(steps(of(F.col("band") - 1))).alias("i"), F.col("part").alias("o")).select(*col, "band", "i", (-1 - F.col("o")).alias("j"), F.lit(True).alias("second"))
+                if same:
+                    ok = q + k > r + i
+                    r, q = r[ok], q[ok]
+                r, q = oa[r + i], ob[q + k]
+                ok = np.minimum(na[r], nb[q]) >= ratio * np.maximum(na[r], nb[q])
+                if ok.any():
+                    yield r[ok], q[ok]
+
+
+def tiles(hist: list[tuple[int, int, int]], tile: int = TILE, radius: int = RADIUS) -> tuple[list[tuple[int, ...]], int]:
+    """From (band, population count, rows): (band, pop, first, many, same_lo, same_hi, next_lo, next_hi, prev_lo, prev_hi), and the number of tile pairs.
+
+    The rows of a population count lie in tiles first .. first + many - 1 of their band; same_, next_ and prev_ are the tiles, of the same band
+    and of its neighbours, whose population counts come within the radius of the tile's. An empty range has hi = lo - 1. At most 257 rows per band.
+    """
+    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of each band, the least and the greatest count of each tile
+    place, filled = {}, 0
+    for band, pop, n in sorted(hist):
+        own = spans[band]
+        if n > tile:
+            place[band, pop] = (len(own), many := -(-n // tile))
+            own += [(pop, pop)] * many
+            filled = tile
+        elif own and filled + n <= tile:
+            own[-1] = (own[-1][0], pop)
+            place[band, pop] = (len(own) - 1, 1)
+            filled += n
+        else:
+            place[band, pop] = (len(own), 1)
+            own.append((pop, pop))
+            filled = n
+    los, his = ({b: [x[k] for x in own] for b, own in spans.items()} for k in (0, 1))
+
+    def within(band: int, lo: int, hi: int) -> tuple[int, int]:
+        first, last = bisect_left(his.get(band, ()), lo - radius), bisect_right(los.get(band, ()), hi + radius) - 1
+        return (first, last) if first <= last else (0, -1)
+
+    out, pairs = [], 0
+    for (band, pop), (first, many) in place.items():
+        near = [within(x, *spans[band][first]) for x in (band, band + 1, band - 1)]
+        out.append((band, pop, first, many, *near[0], *near[1], *near[2]))
+    for band, own in spans.items():
+        for t, x in enumerate(own):
+            pairs += within(band, *x)[1] - t + 1
+            pairs += (y := within(band + 1, *x))[1] - y[0] + 1
+    return out, pairs
+
+
+def links(own: DataFrame, tile: int = TILE, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
+    """(node, root, n): for distinct signatures (id, s0..s3, n_words, m), by task, the ids that have near duplicates in it, a node of their component, and how many rows those are."""
+    own = own.select("id", *WORDS, "n_words", "m", F.floor(F.ln("n_words") / F.lit(-math.log(ratio))).cast("int").alias("band"), sum(F.bit_count(w) for w in WORDS).alias("pop"))
+    table, pairs = tiles([tuple(r) for r in own.groupBy("band", "pop").count().collect()], tile, radius)  # some 30 bands of at most 257 rows
+    names = ("band", "pop", "first", "many", "same_lo", "same_hi", "next_lo", "next_hi", "prev_lo", "prev_hi")
+    grid = F.broadcast(own.sparkSession.createDataFrame(table, ", ".join(f"{x} int" for x in names)))
+    row = own.join(grid, ["band", "pop"]).withColumn("t", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int"))
+
+    def cells(lo, hi, cell):
+        return F.transform(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")), lambda o: F.struct(*(x.alias(n) for x, n in zip(cell(o), ("band", "i", "j", "second")))))
+
+    c, no, yes = F.col, F.lit(False), F.lit(True)
+    # Task (band, i, j): tiles i <= j of the band with each other; task (band, i, -1 - j): tile i with tile j of the next band.
+    all_ = F.concat(
+        cells(c("t"), c("same_hi"), lambda o: (c("band"), c("t"), o, no)),
+        cells(c("same_lo"), c("t") - 1, lambda o: (c("band"), o, c("t"), yes)),
+        cells(c("next_lo"), c("next_hi"), lambda o: (c("band"), c("t"), -1 - o, no)),
+        cells(c("prev_lo"), c("prev_hi"), lambda o: (c("band") - 1, o, -1 - c("t"), yes)),
+    )
+    rows = row.select("id", *WORDS, "n_words", "m", F.explode(all_).alias("c")).select("c.*", "id", *WORDS, "n_words", "m")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        split = pdf["second"].to_numpy(bool)
-        one = pdf["i"].iat[0] == pdf["j"].iat[0]
+        second = pdf["second"].to_numpy(bool)
         sig = pdf[list(WORDS)].to_numpy(np.int64).view(np.uint64).reshape(-1, 4)
-        n, ids = pdf["n_words"].to_numpy(), pdf["id"].to_numpy()
-        if one:
-            r, q = close(sig, sig, n, n, True, radius, ratio)
-            return forest(ids[r], ids[q])
-        a, b = ~split, split
-        r, q = close(sig[a], sig[b], n[a], n[b], False, radius, ratio)
-        return forest(ids[a][r], ids[b][q])
-
-    kind = sigs.schema["doc_id"].dataType.simpleString()
-    found = inner.unionByName(down).unionByName(up).groupBy("band", "i", "j").applyInPandas(compare, f"node {kind}, root {kind}")
-    return found.unionByName(copies)
+        n, m, ids = (pdf[x].to_numpy() for x in ("n_words", "m", "id"))
+        one = pdf["i"].iat[0] == pdf["j"].iat[0]
+        a, b = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(~second), np.flatnonzero(second))
+        many, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+        for r, q in close(sig[a], sig[b], n[a], n[b], one, radius, ratio):
+            r, q = a[r], b[q]
+            np.add.at(many, r, m[q])
+            np.add.at(many, q, m[r])
+            forest.join(r, q)
+        k = np.flatnonzero(many)
+        return pd.DataFrame({"node": ids[k], "root": ids[forest.root[k]], "n": many[k]})
+
+    # A number of its own keeps the adaptive planner from packing heavy tasks together.
+    parts = max(1, min(20_000, max(2 * pairs, own.sparkSession.sparkContext.defaultParallelism)))
+    return rows.repartition(parts, "band", "i", "j").groupBy("band", "i", "j").applyInPandas(compare, "node long, root long, n long")
+
+
+def members(sigs: DataFrame, **options) -> DataFrame:
+    """(r, doc_id, group_id, group_size, n_links, keep) from the written rows of signatures()."""
+    key = [*WORDS, "n_words"]
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("r").alias("r"))
+    own = cut(sigs.where("n_words is not null").groupBy(*key).agg(F.min("r").alias("id"), F.count("*").alias("m"), F.min(first).alias("first")), "signatures")
+    found = cut(links(own, **options), "links")
+    root = components(found.select("node", "root")).select(F.col("node").alias("id"), "root")
+    many = found.groupBy(F.col("node").alias("id")).agg(F.sum("n").alias("n"))
+    of = own.join(many, "id", "left").join(root, "id", "left").withColumn("root", F.coalesce("root", "id")).withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("m") - 1)
+    of = cut(of.select(*key, "m", "first", "root", "n_links"), "classes")
+    groups = of.groupBy("root").agg(F.sum("m").alias("group_size"), F.min("first").alias("rep"))
+    of = of.join(groups, "root").select(*key, "group_size", "n_links", "rep")
+    some = sigs.join(of, key).select("r", "doc_id", F.col("rep.doc_id").alias("group_id"), "group_size", "n_links", (F.col("r") == F.col("rep.r")).alias("keep"))
+    alone = sigs.where("n_words is null").select("r", "doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("keep"))
+    return some.unionByName(alone)
+
+
+def groups(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, group_id, group_size, n_links, keep): a row for every row of docs.
+
+    A group is a connected class of near duplicates, ``group_size`` its rows, ``n_links`` how many other rows are near duplicates of this one, copies included. The row of
+    least doc_id is kept, of several (repeated rows, shared ids) one of them, and a row without doc_id only where the group has no other; ``group_id`` is
+    the doc_id of the kept row. A text without words, empty or null, has no signature and stands alone, as does any without near duplicates. Very long texts are read
+    whole. Other columns are ignored, whatever their names; an empty table gives no row.
+    """
+    return members(cut(signatures(docs), "sigs"), **options).drop("r")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id, group_size, keep): a row for every distinct doc_id of docs.
+def drop_copies(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of near duplicates, the one that groups() keeps; all columns kept, whatever their names.
 
-    ``group_id`` is the least doc_id of the connected group, and the one kept. A document without words, empty or null, has no signature
-    and stands alone, as does any document without near duplicates. Rows with a null doc_id are left out; rows sharing a doc_id
-    are one document. Other columns are ignored.
+    Rows are judged each by itself: of identical rows one stays, of different texts that share a doc_id both stay, rows without doc_id are compared like
+    all others, and texts without words, null or empty, all stay. An empty table stays empty.
     """
-    sigs = cut(signatures(docs), "sigs")
-    found = components(edges(sigs))
-    members = found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
-    sized = members.groupBy("group_id").agg((F.count("*") + 1).alias("group_size"))
-    all_ = members.join(sized, "group_id").unionByName(sized.select(F.col("group_id").alias("doc_id"), "group_id", "group_size"))
-    ids = docs.where("doc_id is not null").select("doc_id").distinct()
-    out = ids.join(all_, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.coalesce("group_id", "doc_id") == F.col("doc_id")).alias("keep"))
-
-
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one of least doc_id; all columns kept. Rows with a null doc_id stay."""
-    sigs = cut(signatures(docs), "sigs")
-    gone = components(edges(sigs)).select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    docs, number = numbered(docs, "docs")
+    gone = members(cut(signatures(docs, number), "sigs"), **options).where("not keep").select(F.col("r").alias(number))
+    return docs.join(gone, number, "left_anti").drop(number)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
