@@ -10,6 +10,8 @@ import pytest
 
 from tripleloom.llm import mixing as M
 
+from tripleloom.llm.tokenizer import encode
+
 from .conftest import prose
 
 
@@ -74,18 +76,45 @@ def test_weights(corpus):
     assert got["a"] == pytest.approx(got["b"], rel=0.02) and got[None] == pytest.approx(2 * got["a"], rel=0.02)
 
 
-def test_does_not_depend_on_partitions(corpus):
-    a, b = ({r.doc_id for r in M.sample(d).where("selected").collect()} for d in (corpus, corpus.repartition(2, "text")))
+def test_the_sample_is_repeatable(corpus):
+    a, b = (sorted(map(str, M.sample(corpus).where("selected").collect())) for _ in range(2))
     assert a == b
 
 
+def test_large_ids_beside_nulls_and_shared_ids(spark):
+    """Ids above 2^53, null and shared ids: as many rows are kept as selected, and each with its own text."""
+    rng = random.Random(5)
+    ids = [2**60 + 1, 2**60 + 3, 2**60 + 5, None, None, 7, 7, 7] * 20
+    rows = [(d, f"row {k} " + prose(rng, rng.randint(1, 60)), "en", ("a", None)[k % 2], 0) for k, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = M.sample(docs).collect()
+    assert sorted(map(str, ((r.doc_id, r.source, r.n_tokens) for r in got))) == sorted(str((d, s, len(encode(t)))) for d, t, _, s, _ in rows)
+    kept = M.keep_sampled(docs).collect()
+    assert {tuple(r) for r in kept} <= set(rows) and len({r.text for r in kept}) == len(kept)
+    for s in ("a", None):
+        own, mine = [r for r in got if r.source == s], [r for r in kept if r.source == s]
+        assert abs(len(mine) - sum(r.pi for r in own)) <= 2
+        assert abs(sum(len(encode(r.text)) for r in mine) - sum(r.pi * r.n_tokens for r in own)) <= 2 * max(r.n_tokens for r in own)
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([(f"doc {k}", "one two three", "en", "a", 0) for k in range(50)], "doc_id string, text string, lang string, source string, n_chars bigint")
+    assert M.keep_sampled(docs, share=0.5).count() == 25 and M.sample(docs).count() == 50
+
+
+def test_landing_of_many_is_an_error():
+    with pytest.raises(ValueError):
+        M.land(np.full(5, 0.5), np.arange(5))
+
+
 def test_odd_input(messy, nothing):
     rows = M.sample(messy).collect()
-    assert len(rows) == messy.count() and all(r.n_tokens == 0 for r in rows if r.doc_id in (1, 2, 3))
+    assert len(rows) == messy.count() and all(r.n_tokens == 0 for r in rows if r.doc_id in (1, 2))
+    assert all(r.n_tokens == len(encode(t)) for r, t in zip(sorted((r for r in rows if r.doc_id == 4), key=str), [x.text for x in messy.where("doc_id = 4").collect()]))
     kept = M.keep_sampled(messy)
-    assert kept.columns == messy.columns
-    ids = {r.doc_id for r in rows if r.selected}
-    assert {r.doc_id for r in kept.collect()} == ids - {None}
+    assert kept.columns == messy.columns and set(map(str, kept.collect())) <= set(map(str, messy.collect()))
+    pi = sum(r.pi for r in rows)
+    assert abs(kept.count() - pi) <= 2 * len({r.source for r in rows})
     assert M.sample(nothing).count() == 0 == M.keep_sampled(nothing).count()
     empty = messy.where("doc_id in (1, 2)")
     assert not any(r.selected for r in M.sample(empty).collect())

@@ -50,12 +50,62 @@ def test_follows_a_table_through_changes(spark, rollup):
             d, t = want.get((s, l, v), (0, 0))
             want[s, l, v] = (d + 1, t + n)
         assert totals(rollup) == want
-    assert rollup.committed() == {f"b{k}" for k in range(6)}
+    assert {r.batch for r in rollup.committed().collect()} == {f"b{k}" for k in range(6)}
+    before = totals(rollup)
+    rollup.clean()
+    assert totals(rollup) == before and {r.batch for r in rollup.committed().collect()} == {f"b{k}" for k in range(6)}
+
+
+def one(spark, n):
+    return spark.createDataFrame([("insert", "a", "en", "v1", n, None)], CHANGES)
+
+
+def test_a_commit_during_a_compaction_counts_once(spark, rollup, monkeypatch):
+    rollup.commit("x", one(spark, 5))
+    append, late = R.Rollup._append, []
+
+    def slow(self, number, entry):
+        if "through" in entry and not late:
+            late.append(1)
+            assert R.Rollup(spark, rollup.path).commit("y", one(spark, 7))
+        return append(self, number, entry)
+
+    monkeypatch.setattr(R.Rollup, "_append", slow)
+    assert rollup.compact() and totals(rollup) == {("a", "en", "v1"): (2, 12)}
+    assert not rollup.commit("x", one(spark, 5)) and not rollup.commit("y", one(spark, 7))
+    rollup.clean()
+    assert rollup.compact() and totals(rollup) == {("a", "en", "v1"): (2, 12)} and {r.batch for r in rollup.committed().collect()} == {"x", "y"}
+
+
+def test_rival_committers_and_compactions(spark, rollup, monkeypatch):
+    """Both see that the batch is new; one wins. Of two compactions of one state, one counts."""
+    append, other = R.Rollup._append, R.Rollup(spark, rollup.path)
+
+    def rival(act):
+        seen = []
+
+        def slow(self, number, entry):
+            if self is rollup and not seen:
+                seen.append(1)
+                assert act()
+            return append(self, number, entry)
+
+        monkeypatch.setattr(R.Rollup, "_append", slow)
+
+    rival(lambda: other.commit("x", one(spark, 5)))
+    assert not rollup.commit("x", one(spark, 5)) and totals(rollup) == {("a", "en", "v1"): (1, 5)}
+    rival(lambda: other.commit("z", one(spark, 1)))
+    assert rollup.commit("w", one(spark, 2)) and totals(rollup) == {("a", "en", "v1"): (3, 8)}
+    rival(other.compact)
+    assert not rollup.compact() and totals(rollup) == {("a", "en", "v1"): (3, 8)}
+    assert len(rollup._names("data")) == 5
+    rollup.clean()
+    assert len(rollup._names("data")) == 2 and len(rollup._names("log")) == 1
 
 
 def test_a_draft_left_by_a_lost_driver_counts_for_nothing(spark, rollup):
     changes = spark.createDataFrame([("insert", "a", "en", "v1", 5, None)], CHANGES)
-    R.delta(changes).write.parquet(f"{rollup.path}/_draft/left")
+    R.delta(changes).write.parquet(f"{rollup.path}/data/left")
     assert totals(rollup) == {}
     rollup.commit("x", changes)
     assert totals(rollup) == {("a", "en", "v1"): (1, 5)}
@@ -103,4 +153,5 @@ def test_query_equals_counting_each_text(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         d, t = want.get((r.source, r.lang), (0, 0))
         want[r.source, r.lang] = (d + 1, t + len(encode(r.text)))
-    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in R.query(spark, sf).collect()} == want
+    rows = R.query(spark, sf).collect()
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in rows} == want and len(rows) == len(want) and {r.version for r in rows} == {"byte_bpe_50k"}
