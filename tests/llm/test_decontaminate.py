@@ -18,8 +18,6 @@ def brute(text, items, n=D.N):
     for item in items:
         b = words(item)
         size = min(n, len(b))
-        if size < D.MIN_WORDS:
-            continue
         for i in range(len(w) - size + 1):
             for j in range(len(b) - size + 1):
                 if w[i : i + size] == b[j : j + size]:
@@ -30,7 +28,7 @@ def brute(text, items, n=D.N):
 @pytest.fixture(scope="module")
 def case():
     rng = random.Random(1)
-    items = [prose(rng, n) for n in (30, 12, 8, 5, 4, 3, 20)]
+    items = [prose(rng, n) for n in (30, 12, 8, 5, 4, 3, 20, 2, 1)]
     texts = []
     for k in range(60):
         w = prose(rng, rng.randint(3, 80)).split(" ")
@@ -47,10 +45,10 @@ def bench(spark, items):
     return spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id bigint, text string")
 
 
-@pytest.mark.parametrize("most", [D.MAX_BROADCAST, 0])
+@pytest.mark.parametrize("most", [D.BLOCK, 40, 1])
 def test_equals_brute_force(spark, documents, case, most):
     items, texts = case
-    rows = {r.doc_id: r for r in D.scan(documents(texts), bench(spark, items), max_broadcast=most).collect()}
+    rows = {r.doc_id: r for r in D.scan(documents(texts), bench(spark, items), block=most).collect()}
     assert len(rows) == len(texts)
     for k, t in enumerate(texts):
         w, covered = words(t), brute(t, items)
@@ -76,16 +74,16 @@ def test_case_and_punctuation_do_not_hide_a_passage(spark, documents):
     assert D.decontaminate(documents([text]), bench(spark, [item])).first().text == "Before it all of this stands here. ! After it that stands there for long."
 
 
-@pytest.mark.parametrize("most", [D.MAX_BROADCAST, 0])
+@pytest.mark.parametrize("most", [D.BLOCK, 40, 1])
 def test_odd_input(spark, messy, nothing, most):
     b = bench(spark, ["one two three four five six seven", None, "", "one two three four five six seven", "ab"])
-    out = D.decontaminate(messy, b, max_broadcast=most)
+    out = D.decontaminate(messy, b, block=most)
     assert out.columns == messy.columns and out.count() == messy.count() - 2
     assert out.where("doc_id = 6").count() == 0 and out.where("row = 'own row'").count() == out.count()
     taken = messy.withColumn("spans", messy["lang"]).withColumn("removed", messy["lang"]).withColumn("number", messy["lang"]).withColumn("found", messy["lang"]).withColumn("place", messy["lang"])
-    assert D.decontaminate(taken, b, max_broadcast=most).columns == taken.columns
-    assert D.decontaminate(nothing, b, max_broadcast=most).count() == 0
-    assert sorted(map(str, D.decontaminate(messy, b.limit(0), max_broadcast=most).collect())) == sorted(map(str, messy.collect()))
+    assert D.decontaminate(taken, b, block=most).columns == taken.columns
+    assert D.decontaminate(nothing, b, block=most).count() == 0
+    assert sorted(map(str, D.decontaminate(messy, b.limit(0), block=most).collect())) == sorted(map(str, messy.collect()))
 
 
 def test_n_chars_follows(spark, documents):
@@ -103,3 +101,23 @@ def test_query_equals_its_sql_on_the_fixture(spark, sf):
     cols = ["doc_id", "contaminated", "removed", "n_spans", "text"]
     want = sorted(map(str, con.execute(f"select {', '.join(cols)} from ({D.ORACLE})").fetchall()))
     assert sorted(str(tuple(r)) for r in D.query(spark, sf).select(*cols).collect()) == want
+
+
+def test_a_million_windows():
+    """Compact: some 25 bytes a window beside the lookup table, and exact."""
+    rng = random.Random(3)
+    vocabulary = [prose(rng, 1) for _ in range(5000)]
+    items = [[rng.choice(vocabulary) for _ in range(1000)] for _ in range(1010)]
+    index = D.Index(items)
+    key, place, slots, table = index.by[8]
+    assert len(key) > 1_000_000 and len(key) * 16 + len(index.blob) + index.ends.nbytes < 40 * len(key) and table.nbytes <= 1 << 25
+    for k in range(0, 1010, 101):
+        own = [prose(rng, 1) for _ in range(30)] + items[k][100:120] + [prose(rng, 1) for _ in range(30)]
+        assert index.spans(own) == [(30, 50)]
+
+
+def test_equal_hashes_are_told_apart_by_words(monkeypatch):
+    monkeypatch.setattr(D, "hashes", lambda own: D.np.array([len(w) for w in own], D.np.uint64))
+    index = D.Index([["aa", "bbb"], ["cc", "ddd"], ["cc", "ddd"]], n=2)
+    assert len(index.by[2][0]) == 2
+    assert index.spans("xx cc ddd xx aa ddd aa bbb".split()) == [(1, 3), (6, 8)]

@@ -1,16 +1,18 @@
 """Benchmark decontamination by a hash set of normalised test n-grams.
 
 Texts become lower-case word tokens. A window of ``N`` tokens that equals a window of a benchmark item is a hit; items of fewer than N
-words (but at least ``MIN_WORDS``) match by all their words. Windows are looked up by a 64-bit hash and every hit is verified against the item's words.
+words match by all their words, also items of a single word. Windows are looked up by a 64-bit hash and every hit is verified against the item's words.
 Overlapping and touching hits merge to spans. Spans are cut out of the text; a document of which at least ``DROP_SHARE`` of the words lie in spans
 is removed whole.
 
-The hash set is broadcast while the benchmark can't have more than ``max_broadcast`` windows, by its characters; beyond it, windows of
-both sides meet in a shuffled join, with the same result.
+The hash set is broadcast as sorted arrays: some 25 bytes a window, words included. One broadcast holds at most ``BLOCK`` windows; a larger benchmark is scanned for block
+by block, each in one more pass over the documents, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,8 +22,7 @@ from pyspark.sql import types as T
 
 from .common import WORD, cut, fresh, read, ready, words
 
-N, MIN_WORDS, DROP_SHARE, MAX_BROADCAST = 8, 4, 0.5, 500_000
-SLOTS = 22  # bits of the prefilter table
+N, DROP_SHARE, BLOCK = 8, 0.5, 4_000_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,33 +43,77 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """The windows of the benchmark: for each length, sorted hashes with the item words they stand for."""
-
-    def __init__(self, items: list[list[str]], n: int = N, least: int = MIN_WORDS):
-        self.by: dict[int, dict[int, set[tuple[str, ...]]]] = {}
-        for own in items:
-            size = n if len(own) >= n else len(own)
-            if size < least:
-                continue
-            for k, h in enumerate(windows(hashes(own), size).tolist()):
-                self.by.setdefault(size, {}).setdefault(h, set()).add(tuple(own[k : k + size]))
-        self.table = {}
-        for size, own in self.by.items():
-            self.table[size] = np.zeros(1 << SLOTS, bool)
-            self.table[size][np.fromiter(own, np.uint64, len(own)) >> np.uint64(64 - SLOTS)] = True
-
-    def spans(self, own: list[str]) -> list[tuple[int, int]]:
-        """Merged [from, to) token spans of verified hits."""
+    """Windows of benchmark items: the items' words, and by window length the sorted hashes of windows and where in the words they begin."""
+
+    def __init__(self, items: list[list[str]], n: int = N):
+        own = [x for x in items if x]
+        blob = [w.encode() for x in own for w in x]
+        self.ends = np.cumsum([0, *map(len, blob)], dtype=np.int64)
+        self.blob = b"".join(blob)
+        h, at = hashes([w for x in own for w in x]), 0
+        found: dict[int, list[np.ndarray]] = {}
+        for x in own:
+            size = min(n, len(x))
+            found.setdefault(size, []).append(np.arange(at, at + len(x) - size + 1))
+            at += len(x)
+        self.by = {}
+        for size, places in sorted(found.items()):
+            place = np.concatenate(places)
+            key = windows(h, size)[place]
+            order = np.argsort(key, kind="stable")
+            key, place = key[order], place[order]
+            first = np.r_[True, key[1:] != key[:-1]]
+            # One place for each distinct window: of equal hashes those whose words are new.
+            again = np.flatnonzero(~first)
+            starts = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))[again]
+            keep = first.copy()
+            keep[[k for k, s in zip(again.tolist(), starts.tolist()) if all(self._words(place[k], size) != self._words(place[j], size) for j in range(s, k))]] = True
+            slots = min(25, max(12, int(8 * len(key)).bit_length()))
+            table = np.zeros(1 << slots, bool)
+            table[key >> np.uint64(64 - slots)] = True
+            self.by[size] = (key[keep], place[keep].astype(np.int64), slots, table)
+
+    def _words(self, at: int, size: int) -> list[bytes]:
+        e = self.ends
+        return [self.blob[e[k] : e[k + 1]] for k in range(at, at + size)]
+
+    def hits(self, own: list[str]) -> list[tuple[int, int]]:
+        """[from, to) token spans of verified hits."""
         if not own or not self.by:
             return []
-        h, hits = hashes(own), []
-        for size, known in self.by.items():
+        h, out = hashes(own), []
+        for size, (key, place, slots, table) in self.by.items():
             w = windows(h, size)
-            for k in np.flatnonzero(self.table[size][w >> np.uint64(64 - SLOTS)]).tolist():
-                found = known.get(int(w[k]))
-                if found and tuple(own[k : k + size]) in found:
-                    hits.append((k, k + size))
-        return merge(hits)
+            maybe = np.flatnonzero(table[w >> np.uint64(64 - slots)])
+            if not len(maybe):
+                continue
+            at = np.searchsorted(key, w[maybe])
+            ok = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == w[maybe])
+            for k, j in zip(maybe[ok].tolist(), at[ok].tolist()):
+                mine = [x.encode() for x in own[k : k + size]]
+                while j < len(key) and key[j] == w[k]:
+                    if self._words(int(place[j]), size) == mine:
+                        out.append((k, k + size))
+                        break
+                    j += 1
+        return out
+
+    def spans(self, own: list[str]) -> list[tuple[int, int]]:
+        """Merged spans."""
+        return merge(self.hits(own))
+
+
+def blocks(items: DataFrame, n: int = N, most: int = BLOCK) -> Iterator[Index]:
+    """Indexes of at most ``most`` windows, or of one item, in the order of items; the driver holds one at a time."""
+    own, many = [], 0
+    for (text,) in items.toLocalIterator():
+        if w := words(text):
+            if own and many + len(w) > most:
+                yield Index(own, n)
+                own, many = [], 0
+            own.append(w)
+            many += len(w)
+    yield Index(own, n)
 
 
 def merge(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,82 +158,63 @@ def _schema(docs: DataFrame) -> T.StructType:
     return T.StructType([*docs.schema.fields, T.StructField(spans, T.IntegerType()), T.StructField(removed, T.BooleanType())])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_share: float = DROP_SHARE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_share: float = DROP_SHARE, block: int = BLOCK) -> DataFrame:
     """All columns of docs with text decontaminated, and, named by flags(), the number of spans cut and whether the document goes (its text is null).
 
-    Null and empty texts, and any document where the benchmark is empty, pass unchanged with 0 spans. Null items are left out; repeated items count once.
-    Repeated rows and rows that share a doc_id are treated each by itself. Other columns pass, whatever their names.
+    Null and empty texts, and any document where the benchmark is empty, pass unchanged with 0 spans. Null items and items without words are left out; repeated items count once.
+    Very long texts are scanned whole. Repeated rows and rows that share a doc_id are treated each by itself, rows without doc_id like others. Other columns pass, whatever their
+    names; an empty table gives no row.
     """
-    ready(docs.sparkSession)
-    items = benchmark.where("text is not null").select("text").distinct()
-    most = (items.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // 2  # no text has more words, nor windows
-    if most > max_broadcast:
-        return _scan_joined(docs, items, n, drop_share)
-    index = docs.sparkSession.sparkContext.broadcast(Index([words(r[0]) for r in items.toLocalIterator()], n))
-    names, at, added = docs.columns, docs.columns.index("text"), flags(docs.columns)
+    spark = ready(docs.sparkSession)
+    cols, added, found = docs.columns, flags(docs.columns), fresh("found", docs.columns)
+    schema_out, hits = _schema(docs), T.ArrayType(T.LongType())
+    before: Index | None = None
+    for index in blocks(benchmark.where("text is not null").select("text").distinct(), n, block):
+        if before is not None:
+            docs = cut(_pass(docs, spark.sparkContext.broadcast(before), found, T.StructType([*(f for f in docs.schema.fields if f.name != found), T.StructField(found, hits)])), "scanned")
+        before = index
+    last, earlier = spark.sparkContext.broadcast(before), found in docs.columns
 
     def run(batches):
-        own = index.value
+        own = last.value
         for b in batches:
-            texts, new, many, gone = b.column(at).to_pylist(), [], [], []
-            for t in texts:
+            new, many, gone = [], [], []
+            others = b.column(found).to_pylist() if earlier else [None] * b.num_rows
+            for t, more in zip(b.column("text").to_pylist(), others):
                 w = words(t)
-                s = own.spans(w)
+                s = merge([*own.hits(w), *_pairs(more)])
                 left, removed = _judge(t, s, len(w), drop_share)
                 new.append(left)
                 many.append(len(s))
                 gone.append(removed)
-            cols = [pa.array(new, pa.string()) if k == at else b.column(k) for k in range(len(names))]
-            yield pa.record_batch([*cols, pa.array(many, pa.int32()), pa.array(gone, pa.bool_())], names=[*names, *added])
-
-    return docs.mapInArrow(run, _schema(docs))
-
-
-def _scan_joined(docs: DataFrame, items: DataFrame, n: int, drop_share: float) -> DataFrame:
-    """scan() without a broadcast: windows of documents and items join on hash and words."""
-    cols, added, number = docs.columns, flags(docs.columns), fresh("number", docs.columns)
-    found, place = fresh("found", cols), fresh("place", cols)
-    schema_out = _schema(docs)
-    docs = cut(docs.withColumn(number, F.monotonically_increasing_id()), "docs")
-
-    def grams(sizes: list[int] | None):
-        def run(batches):
-            for b in batches:
-                ids, pos, size, text = [], [], [], []
-                for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    w = words(t)
-                    for k in [min(n, len(w))] if sizes is None else sizes:
-                        if k >= MIN_WORDS:
-                            for i in range(len(w) - k + 1):
-                                ids.append(r)
-                                pos.append(i)
-                                size.append(k)
-                                text.append(" ".join(w[i : i + k]))
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(text, pa.string())], names=["row", "pos", "size", "gram"])
-
-        return run
-
-    schema = "row long, pos int, size int, gram string"
-    test = cut(items.select(F.lit(0).cast("long").alias("row"), "text").mapInArrow(grams(None), schema).select("gram", "size").distinct(), "test")
-    sizes = sorted(r[0] for r in test.select("size").distinct().collect())  # at most n numbers
-    hits = docs.select(number, "text").mapInArrow(grams(sizes), schema).join(test, ["gram", "size"], "left_semi").groupBy(F.col("row").alias(place)).agg(F.collect_list(F.struct("pos", "size")).alias(found))
+            yield pa.record_batch([*(pa.array(new, pa.string()) if c == "text" else b.column(c) for c in cols), pa.array(many, pa.int32()), pa.array(gone, pa.bool_())], names=[*cols, *added])
+
+    return docs.mapInArrow(run, schema_out)
+
+
+def _pairs(flat: list[int] | None) -> list[tuple[int, int]]:
+    return list(zip(flat[::2], flat[1::2])) if flat else []
+
+
+def _pass(docs: DataFrame, index, found: str, schema: T.StructType) -> DataFrame:
+    """docs with the spans that one block of the benchmark hits added to the column ``found``, from and to by turns."""
+    names = [f.name for f in schema.fields[:-1]]
 
     def run(batches):
+        own = index.value
         for b in batches:
-            new, many, gone = [], [], []
-            for t, hits in zip(b.column("text").to_pylist(), b.column(found).to_pylist()):
-                s = merge([(x["pos"], x["pos"] + x["size"]) for x in hits or []])
-                left, removed = _judge(t, s, len(words(t)), drop_share)
-                new.append(left)
-                many.append(len(s))
-                gone.append(removed)
-            yield pa.record_batch([*(pa.array(new, pa.string()) if c == "text" else b.column(c) for c in cols), pa.array(many, pa.int32()), pa.array(gone, pa.bool_())], names=[*cols, *added])
+            before = b.column(found).to_pylist() if found in b.schema.names else [None] * b.num_rows
+            new = [[x for s in merge([*own.hits(words(t)), *_pairs(more)]) for x in s] for t, more in zip(b.column("text").to_pylist(), before)]
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(new, pa.list_(pa.int64()))], names=[*names, found])
 
-    return docs.join(hits, docs[number] == hits[place], "left").drop(place, number).mapInArrow(run, schema_out)
+    return docs.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs with benchmark spans cut out and mostly contaminated documents gone; the columns of docs. n_chars, where there is such a column, follows the text."""
+    """docs with benchmark spans cut out and mostly contaminated documents gone; the columns of docs, whatever their names. n_chars, where there is such a column, follows the text.
+
+    Rows with null, empty or blank texts stay as they are, as do rows without doc_id and repeated rows without hits; very long texts are scanned whole. An empty table stays empty.
+    """
     spans, removed = flags(docs.columns)
     out = scan(docs, benchmark, **options).where(~F.col(removed))
     if "n_chars" in docs.columns:
@@ -208,7 +234,7 @@ with w as (
   select doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') as lw, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') as ow, string_split_regex(text, '[\p{{L}}\p{{N}}_]+') as sep from documents
 ), items as (
   select distinct regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') as b from benchmark where text is not null
-), sized as (select b, least(len(b), {N}) as size from items where len(b) >= {MIN_WORDS}
+), sized as (select b, least(len(b), {N}) as size from items where len(b) >= 1
 ), test as (
   select distinct size, array_to_string(b[k : k + size - 1], ' ') as g from sized, unnest(range(1, len(b) - size + 2)) as t(k)
 ), grams as (
