@@ -47,6 +47,33 @@ def test_large_shard():
             assert m.select(t, j) == where[j] and m.rank(t, int(where[j])) == j
 
 
+def test_a_range_reads_only_what_it_needs():
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 50_000, 1_000_000).astype(np.uint32)
+    data = W.build(tokens, np.arange(0, 1_000_001, 1000))
+    assert len(data) < 2.2 * len(tokens)
+    m = W.WaveletMatrix(memoryview(data))
+    assert not m.read and (m.document(500) == tokens[500_000:501_000]).all()
+    assert len(m.read) <= m.bits * m.n_segments and sum(k < 2 for k, _ in m.read) <= 5
+    m.read.clear()
+    assert m.access(777_777) == tokens[777_777] and len(m.read) == m.bits
+    m.read.clear()
+    assert m.count(int(tokens[5])) == (tokens == tokens[5]).sum() and len(m.read) <= 2 * m.bits
+
+
+def test_shard_files(spark, documents, tmp_path):
+    docs = documents(["one two three", "", None, "four five " * 500])
+    for _ in range(2):  # a second run replaces the files
+        rows = W.save(W.pack(docs, shard_tokens=10), f"file://{tmp_path}/shards").collect()
+    assert sorted(x.name for x in (tmp_path / "shards").iterdir()) == sorted(f"{r.shard_id}.wm" for r in rows)
+    got = []
+    for r in rows:
+        m = W.WaveletMatrix.open(r.path.removeprefix("file://"))
+        assert len(m) == r.n_tokens and len(m.offsets) == r.n_docs + 1
+        got += [m.document(k).tolist() for k in range(r.n_docs)]
+    assert sorted(got) == sorted(encode(r.text) for r in docs.collect())
+
+
 def test_broken_file():
     with pytest.raises(ValueError):
         W.WaveletMatrix(b"something else")
