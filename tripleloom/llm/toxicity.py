@@ -313,6 +313,20 @@ class Bags:
             out[self.own[k]] += 1
         return out
 
+    def distinct(self, chosen: list[int]) -> list[int]:
+        """The chosen texts without near copies of earlier ones, which would count as evidence again: those that share the least of their hashed runs of five words, by one of four hash functions."""
+        seen: set[tuple[int, int]] = set()
+        out = []
+        for k in chosen:
+            x = self.rows[k].astype(np.uint64)
+            for _ in range(min(4, len(x) - 1)):
+                x = x[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ x[1:]
+            keys = {(j, int(((x ^ (x >> np.uint64(29))) * np.uint64(m)).min())) for j, m in enumerate((0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)) if len(x)}
+            if not keys & seen:
+                out.append(k)
+            seen |= keys
+        return out
+
     def pairs(self, chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(first * units + second, in how many of the chosen texts) of pairs of neighbours."""
         found = [np.zeros(0, np.int64)]
@@ -422,6 +436,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, backg
     toxic, clean = ([k for k, y in enumerate(labels) if bool(y) == want and len(bags.own[k])] for want in (True, False))
     if not toxic or not clean:
         return None
+    toxic, clean = bags.distinct(toxic), bags.distinct(clean)
     spare = [[k for i, k in enumerate(ks) if i % 3 == 2] if min(len(toxic), len(clean)) >= FEW else [] for ks in (toxic, clean)]
     model = _machine(texts, bags, *([k for k in ks if k not in set(out)] for ks, out in zip((toxic, clean), spare)), *options)
     if model is None:
