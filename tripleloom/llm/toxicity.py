@@ -42,7 +42,7 @@ SPACED = re.compile(r"(?<![^\W_])(?<![@$])[^\W_](?:(?:[^\w@$]|_)+(?:[^\W_]|[@$])
 STOP = re.compile(r"[.!?;:]+\s+")
 ENDS = (".", "!", "?")
 BRIEF, JOINED = 3, 16  # a word of up to so many letters is joined with its neighbours, up to so many characters
-JOINS_WRONGLY, WRONGLY, FEW = 1000, 10.0, 30
+JOINS_WRONGLY, WRONGLY, FEW, FLOOR = 1000, 10.0, 30, 0.5
 LEET = str.maketrans("013457@$", "oieastas")
 SEPARATORS = re.compile(r"(?:[^\w@$]|_)+")
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -198,9 +198,14 @@ class Model:
     margin: float = 0.0  # how much further above the threshold joins of short words must be
     pairs: bool = False  # whether pairs of words are units
 
+    @property
+    def floor(self) -> float:
+        """Scores aren't told apart below this."""
+        return self.threshold - FLOOR
+
     def score(self, units: list[str]) -> np.ndarray:
-        """Scores; those that can't reach the threshold less 1 are that, and those of units too short for a subsequence minus infinity."""
-        floor = self.threshold - 1
+        """Scores; those that can't reach the floor are that, and those of units too short for a subsequence minus infinity."""
+        floor = self.floor
         out = np.full(len(units), -np.inf, np.float32)
         for at, own, c in by_length(units):
             dot = sum(w * self.weight[k].sum(1, dtype=np.float64) for k, w in self.grams.find(c))
@@ -475,10 +480,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 
 
 class Scorer:
-    """Scores texts, remembering which raw tokens it has seen and the scores of those above the floor, the threshold less 1; they are few."""
+    """Scores texts, remembering which raw tokens it has seen and the scores of those above the floor; they are few."""
 
     def __init__(self, model: Model):
-        self.model, self.floor = model, model.threshold - 1
+        self.model, self.floor = model, model.floor
         self.forget()
 
     def forget(self) -> None:
@@ -558,7 +563,7 @@ def scorer(model: Model) -> Scorer:
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score, toxic, n_toxic_sentences) for every row of docs.
 
-    ``score`` is the margin above the threshold, rounded to 4 places and not below -1; null for null or empty texts, texts without a unit of
+    ``score`` is the margin above the threshold, rounded to 4 places and not below -``FLOOR``; null for null or empty texts, texts without a unit of
     three letters, and where no model could be trained (no labels of one class): such rows are not toxic. Very long texts and words are read whole. Repeated rows and ties
     are scored alike; null ids pass; other columns are ignored, whatever their names; an empty table gives no row.
     """
