@@ -7,6 +7,7 @@ import html
 import math
 from urllib.parse import quote
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,31 @@ def test_unknown_functions_and_parameters(spark):
         evaluate(spark, "no_such")
     with pytest.raises(ValueError, match="no parameter"):
         evaluate(spark, "reverse", ("no_such", "x"))
+
+
+def test_text_that_is_no_number_or_date_gives_null(spark):
+    """One bad value doesn't end a job."""
+    from pyspark.sql import functions as F
+
+    from tripleloom.functions import Value, load
+
+    own, bad = load(), Value(F.col("x"))
+    df = spark.createDataFrame([("no number",), ("",), ("1e400",), (None,)], "x string")
+    checked = 0
+    for name, f in own.items():
+        if name.startswith(("grel:math_", "grel:date_", "bi:date_")) and name not in ("grel:math_randomNumber", "grel:date_now"):
+            constant = {"pattern": Value(F.lit("yyyy-MM-dd"), constant="yyyy-MM-dd"), "unit": Value(F.lit("d"), constant="d")}
+            rows = df.select("x", f.build(**{a: constant.get(a, bad) for a in f.params}).col.alias("y")).collect()
+            assert all(r.y is None for r in rows if r.x in ("no number", "", None)), (name, rows)
+            checked += 1
+    assert checked > 30
+
+
+def test_small_numbers_keep_their_digits(spark):
+    from pyspark.sql import functions as F
+
+    from tripleloom.operators.lexical import py_float
+
+    rng = np.random.default_rng(1)
+    own = [1.2345678901234567e-4, 1e-4, -1.5e-4, 9.999999999999999e-4, 1e-3, 0.0, 1e-5, -2.5e-7, 1e16, 9999999999999998.0, 12345678.9, *(rng.random(200) * 1e-3).tolist(), *(10 ** rng.uniform(-6, 6, 200)).tolist()]
+    assert [r.t for r in spark.createDataFrame([(x,) for x in own], "x double").select(py_float(F.col("x")).alias("t")).collect()] == [repr(x) for x in own]

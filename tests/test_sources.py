@@ -161,3 +161,22 @@ def test_shapefile(rows, tmp_path):
 def test_unknown_formats_are_refused(rows, tmp_path):
     with pytest.raises(SourceError):
         rows(tmp_path / "a.bin", ["x"])
+
+
+@pytest.mark.parametrize("url", ["neo4j://host:7687@user:pa%40ss/db", "neo4j://user:pa%40ss@host:7687/db", "neo4j://user:pa%40ss@host/db"])
+def test_cypher_urls(url):
+    from tripleloom.sources.databases import cypher_options
+
+    assert cypher_options(url) == {"url": "neo4j://host:7687", "authentication.basic.username": "user", "authentication.basic.password": "pa@ss", "database": "db"}
+    assert cypher_options("bolt://host:7999") == {"url": "bolt://host:7999"}
+    with pytest.raises(SourceError):
+        cypher_options("no url")
+
+
+def test_view_dialect():
+    from tripleloom.sources.views import expand, translate
+
+    assert expand(translate("select unnest(str_split(a, ',(')) from t")) == "select explode(split(a, concat('\\\\Q', ',(', '\\\\E'), -1)) from t"
+    assert translate("select strftime(d, '%d %B, week') from t").startswith("select date_format(d, 'dd MMMM, \\'week\\'')")
+    with pytest.raises(SourceError):
+        translate("select strftime(d, '%U') from t")

@@ -44,7 +44,7 @@ REGISTRY: dict[str, Function] = {}
 
 
 def fn(*names: str, **params: str):
-    """Register a builder. Names are ``grel:``, ``kgc:`` (the engine's own name space) or ``idlab:``."""
+    """Register a builder. Names are ``grel:``, ``bi:`` (the engine's own name space) or ``idlab:``."""
 
     def register(build):
         for n in names:
@@ -63,14 +63,14 @@ def short(iri: str) -> str:
     if iri.startswith(GREL):
         return "grel:" + local(iri)
     if BUILT_IN in iri:
-        return "kgc:" + iri.split(BUILT_IN, 1)[1]
+        return "bi:" + iri.split(BUILT_IN, 1)[1]
     if iri.startswith((IDLAB, IDLAB_OLD)):
         return "idlab:" + local(iri)
     return iri
 
 
 def python(f: Callable[..., Any], *cols: Column, array: bool = False) -> Column:
-    """f over rows in Arrow batches: text or lists in, text (or a list) out. A null argument gives null."""
+    """f over rows in Arrow batches: text or lists in, text (or a list) out. A null argument gives null, and so does one that isn't the number or date that f takes."""
 
     def run(*series: pd.Series) -> pd.Series:
         out = []
@@ -78,12 +78,14 @@ def python(f: Callable[..., Any], *cols: Column, array: bool = False) -> Column:
             if any(x is None for x in row):
                 out.append(None)
             else:
-                r = f(*row)
+                try:
+                    r = f(*row)
+                except (ValueError, OverflowError, ZeroDivisionError):
+                    r = None
                 out.append(None if r is None else [None if e is None else str(e) for e in r] if array else str(r))
         return pd.Series(out, dtype=object)
 
-    run.__annotations__ = {}
-    return F.pandas_udf(run, "array<string>" if array else "string", F.PandasUDFType.SCALAR)(*cols)
+    return F.pandas_udf(run, "array<string>" if array else "string")(*cols)
 
 
 def load() -> dict[str, Function]:

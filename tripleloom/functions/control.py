@@ -73,7 +73,7 @@ def controls_if(test: Value, yes: Value, no: Value) -> Value:
     return _choose(condition(test), yes, no)
 
 
-@fn("kgc:controls_if_cast", test="bool_b", yes="any_true", no="any_false")
+@fn("bi:controls_if_cast", test="bool_b", yes="any_true", no="any_false")
 def controls_if_cast(test: Value, yes: Value, no: Value) -> Value:
     return _choose(condition(test, YES, NO), yes, no)
 

@@ -45,11 +45,11 @@ def to_date(value: Value, pattern: Value | None = None) -> Value:
     if pattern is None:
         return Value(iso(stamp(value)))
     if pattern.constant in SPARK_SAFE:
-        return Value(iso(F.to_timestamp(value.text, pattern.constant)))
+        return Value(iso(F.try_to_timestamp(value.text, F.lit(pattern.constant))))
     return Value(python(lambda t, p: datetime.strptime(t, strptime_pattern(p)).isoformat(), value.text, pattern.text))
 
 
-@fn("kgc:date_toDate", value="valueParameter", pattern="p_string_pattern")
+@fn("bi:date_toDate", value="valueParameter", pattern="p_string_pattern")
 def to_date_python(value: Value, pattern: Value) -> Value:
     return Value(python(lambda t, p: datetime.strptime(t, p).isoformat(), value.text, pattern.text))
 
@@ -60,7 +60,7 @@ def now() -> Value:
 
 
 def stamp(v: Value) -> Column:
-    return F.to_timestamp(F.replace(F.trim(v.text), F.lit("T"), F.lit(" ")))
+    return F.try_to_timestamp(F.replace(F.trim(v.text), F.lit("T"), F.lit(" ")))
 
 
 @fn("grel:date_diff", first="p_datetime_d", second="p_datetime_d2", unit="p_string_timeunit")

@@ -30,7 +30,7 @@ def whole(x: Column) -> Column:
 
 
 def integer(v: Value) -> Column:
-    return F.trim(v.text).cast("double").cast("long")
+    return F.trim(v.text).try_cast("double").try_cast("long")
 
 
 def _native(name: str, f) -> None:
@@ -40,17 +40,11 @@ def _native(name: str, f) -> None:
 
 
 def _libm(name: str, f) -> None:
-    """The C library's result to the last digit, which the JVM's differs from."""
-
-    def of(text: str):
-        try:
-            return f(float(text))
-        except (ValueError, OverflowError):
-            return None
+    """The C library's result to the last digit, which the JVM's and numpy's differ from."""
 
     @fn(f"grel:math_{name}", value="p_dec_n")
     def build(value: Value) -> Value:
-        return Value(python(of, value.text))
+        return Value(python(lambda text: f(float(text)), value.text))
 
 
 _native("degrees", F.degrees)
@@ -106,7 +100,7 @@ def odd(value: Value) -> Value:
 
 @fn("grel:math_fact", value="p_int_i")
 def fact(value: Value) -> Value:
-    n = integer(value).cast("int")
+    n = integer(value).try_cast("int")
     big = python(lambda t: m.factorial(int(float(t))) if float(t) >= 0 else None, F.when(n > 20, value.text))
     return Value(F.coalesce(F.factorial(F.when(n.between(0, 20), n)).cast("string"), big))
 
@@ -148,11 +142,8 @@ def multinomial(values: Value) -> Value:
 @fn("grel:math_pow", value="p_dec_n", exponent="p_any_exp")
 def pow_(value: Value, exponent: Value) -> Value:
     def power(a: str, b: str):
-        try:
-            r = float(a) ** float(b)
-            return r if isinstance(r, float) else None
-        except (ValueError, OverflowError, ZeroDivisionError):
-            return None
+        r = float(a) ** float(b)
+        return r if isinstance(r, float) else None
 
     return Value(python(power, value.text, exponent.text))
 

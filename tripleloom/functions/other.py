@@ -8,12 +8,12 @@ from ..operators.lexical import encode_iri
 from . import Value, fn
 
 
-@fn("kgc:hash", value="valueParameter")
+@fn("bi:hash", value="valueParameter")
 def sha256(value: Value) -> Value:
     return Value(F.sha2(value.text, 256))
 
 
-@fn("kgc:hash_iri", value="valueParameter")
+@fn("bi:hash_iri", value="valueParameter")
 def hash_iri(value: Value) -> Value:
     return Value(F.concat(F.lit("http://example.com/ns#"), F.sha2(value.text, 256)))
 
@@ -54,11 +54,11 @@ def old_upper_url(value: Value) -> Value:
     return Value(F.when(scheme == "", F.concat(F.lit("http://"), encode_iri(F.upper(value.text)))).otherwise(F.concat(scheme, encode_iri(F.upper(scheme)))))
 
 
-@fn("kgc:uuid")
+@fn("bi:uuid")
 def uuid() -> Value:
     return Value(F.expr("uuid()"))
 
 
-@fn("kgc:other_coalesce", values="p_any_rep_e")
+@fn("bi:other_coalesce", values="p_any_rep_e")
 def coalesce(values: Value) -> Value:
     return Value(F.get(F.filter(values.items, lambda x: x.isNotNull() & (x != "")), 0))

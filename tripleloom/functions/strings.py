@@ -129,7 +129,7 @@ def split_by_lengths(value: Value, first: Value, second: Value | None = None, mo
     return Value(F.filter(F.array(*parts), lambda x: x != ""), True)
 
 
-@fn("grel:string_split", "kgc:string_split_explode", value="valueParameter", separator="p_string_sep")
+@fn("grel:string_split", "bi:string_split_explode", value="valueParameter", separator="p_string_sep")
 def split(value: Value, separator: Value) -> Value:
     return Value(F.split(value.text, quoted(separator)), True)
 
@@ -203,7 +203,7 @@ def match(value: Value, pattern: Value) -> Value:
     return Value(python(_findall, value.text, pattern.text, array=True), True)
 
 
-@fn("kgc:concat", first="valueParameter1", second="valueParameter2", separator="p_string_sep")
+@fn("bi:concat", first="valueParameter1", second="valueParameter2", separator="p_string_sep")
 def concat(first: Value, second: Value, separator: Value | None = None) -> Value:
     return Value(F.concat(first.text, separator.text if separator else F.lit(""), second.text))
 

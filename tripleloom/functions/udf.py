@@ -51,7 +51,6 @@ def apply(user: tuple, args: dict[str, Value]) -> Value:
             out.append(None if r is None else [None if e is None else str(e) for e in r] if isinstance(r, (list, tuple)) else [str(r)])
         return pd.Series(out, dtype=object)
 
-    run.__annotations__ = {}
     # A function without arguments is called with one that it doesn't see, once per row.
     if not names:
         def alone(s: pd.Series) -> pd.Series:
@@ -59,7 +58,6 @@ def apply(user: tuple, args: dict[str, Value]) -> Value:
             results = [f() for _ in s]
             return pd.Series([None if r is None else [str(e) for e in r] if isinstance(r, (list, tuple)) else [str(r)] for r in results], dtype=object)
 
-        alone.__annotations__ = {}
-        return Value(F.pandas_udf(alone, "array<string>", F.PandasUDFType.SCALAR).asNondeterministic()(F.lit("")), True)
+        return Value(F.pandas_udf(alone, "array<string>").asNondeterministic()(F.lit("")), True)
     cols = [args[params[n]].col for n in names]
-    return Value(F.pandas_udf(run, "array<string>", F.PandasUDFType.SCALAR)(*cols), True)
+    return Value(F.pandas_udf(run, "array<string>")(*cols), True)

@@ -14,6 +14,9 @@ from ..vocab import XSD
 def py_float(x: Column) -> Column:
     """A double as the shortest text that reads back, without an exponent from 1e-4 to 1e16."""
     s = x.cast("string")
+    # From 1e-4 to 1e-3 Java writes an exponent of -4; the digits are taken as they are, for a decimal has fewer.
+    digits = F.regexp_replace(F.regexp_replace(F.split(s, "E")[0], r"[-.]", ""), r"0+$", "")
+    small = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.lit("0.000"), digits)
     plain = F.regexp_replace(F.regexp_replace(s.cast("decimal(38,18)").cast("string"), r"0+$", ""), r"\.$", ".0")
     sign = F.when(F.abs(x) < 1, F.lit("e-")).otherwise(F.lit("e+"))
     exponent = F.abs(F.regexp_extract(s, r"E(-?\d+)", 1).try_cast("int")).cast("string")
@@ -23,7 +26,8 @@ def py_float(x: Column) -> Column:
         .when(x == float("inf"), "inf")
         .when(x == float("-inf"), "-inf")
         .when(~s.contains("E"), s)
-        .when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), plain)
+        .when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e-3), small)
+        .when((F.abs(x) >= 1e-3) & (F.abs(x) < 1e16), plain)
         .otherwise(power)
     )
 

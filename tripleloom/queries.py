@@ -12,14 +12,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
 from .engine import Engine
 from .mapping.direct import ForeignKey, catalog_schema, direct_mapping
 from .vocab import GREL, IDLAB, XSD
 
 EX = "http://ex.org/"
-KGC = "http://ex.org/function/built-in.ttl#"
+BUILT_INS = "http://ex.org/function/built-in.ttl#"
 HEAD = f"""@prefix rml: <http://w3id.org/rml/> . @prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix ex: <{EX}> . @prefix xsd: <{XSD}> .
-@prefix grel: <{GREL}> . @prefix idlab: <{IDLAB}> . @prefix kgc: <{KGC}> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .
+@prefix grel: <{GREL}> . @prefix idlab: <{IDLAB}> . @prefix bi: <{BUILT_INS}> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .
 @prefix ql: <http://semweb.mmlab.be/ns/ql#> . @prefix old: <http://semweb.mmlab.be/ns/rml#> . @prefix fnml: <http://semweb.mmlab.be/ns/fnml#> . @prefix fno: <https://w3id.org/function/ontology#> .
 """
 
@@ -234,17 +235,17 @@ part("string_toTitlecase", G + "string_toTitlecase", [(V, PTYPE)], "array_to_str
 part("escape_html", G + "escape", [(V, 'rml:template "<{p_brand}> & \\"x\\""'), (G + "modeParameter", const("html"))], "'&lt;' || p_brand || '&gt; &amp; &quot;x&quot;'")
 part("escape_url", G + "escape", [(V, NAME), (G + "modeParameter", const("url"))], "replace(url_encode(p_name), '%2F', '/')")
 part("string_unescape", G + "string_unescape", [(V, 'rml:template "&lt;{p_brand}&gt;"'), (G + "modeParameter", const("html"))], "'<' || p_brand || '>'")
-part("concat", "kgc:concat", [("kgc:valueParameter1", BRAND), ("kgc:valueParameter2", SIZE), (G + "p_string_sep", const("-"))], "p_brand || '-' || p_size")
-part("string_split_explode", "kgc:string_split_explode", [(V, PTYPE), (G + "p_string_sep", const(" "))], f"unnest({WORDS})")
+part("concat", "bi:concat", [("bi:valueParameter1", BRAND), ("bi:valueParameter2", SIZE), (G + "p_string_sep", const("-"))], "p_brand || '-' || p_size")
+part("string_split_explode", "bi:string_split_explode", [(V, PTYPE), (G + "p_string_sep", const(" "))], f"unnest({WORDS})")
 part("string_md5", G + "string_md5", [(V, NAME)], "md5(p_name)")
 part("string_sha1", G + "string_sha1", [(V, NAME)], "sha1(p_name)")
-part("hash", "kgc:hash", [(V, NAME)], "sha256(p_name)")
-part("hash_iri", "kgc:hash_iri", [(V, NAME)], "'http://example.com/ns#' || sha256(p_name)")
+part("hash", "bi:hash", [(V, NAME)], "sha256(p_name)")
+part("hash_iri", "bi:hash_iri", [(V, NAME)], "'http://example.com/ns#' || sha256(p_name)")
 part("unicodestring", G + "unicodestring-s", [(V, BRAND)], "cast(unnest(list_transform(string_split(p_brand, ''), lambda c: unicode(c))) as varchar)")
 part("other_type", G + "other_type", [(G + "p_any_e", NAME)], "'str'")
 part("toUpperCaseURL", "idlab:toUpperCaseURL", [("idlab:str", 'rml:template "ex.org/{p_brand}"')], "'http://EX.ORG/' || upper(p_brand)")
-part("uuid", "kgc:uuid", [], None)
-part("other_coalesce", "kgc:other_coalesce", [("kgc:p_any_rep_e", const("")), ("kgc:p_any_rep_e", BRAND), ("kgc:p_any_rep_e", NAME)], "p_brand")
+part("uuid", "bi:uuid", [], None)
+part("other_coalesce", "bi:other_coalesce", [("bi:p_any_rep_e", const("")), ("bi:p_any_rep_e", BRAND), ("bi:p_any_rep_e", NAME)], "p_brand")
 part("array_get", G + "array_get", [SPLIT, (G + "param_int_i_from", const("0"))], f"{WORDS}[1]")
 part("array_slice", G + "array_slice", [SPLIT, (G + "param_int_i_from", const("0")), (G + "param_int_i_opt_to", const("2"))], f"'[''' || array_to_string({WORDS}[1:2], ''', ''') || ''']'")
 part("array_length", G + "array_length", [SPLIT], f"cast(len({WORDS}) as varchar)")
@@ -256,7 +257,7 @@ part("array_sort", G + "array_join", [(ARR, fx(G + "array_sort", SPLIT)), (G + "
 TEST = fx(G + "string_startsWith", (V, BRAND), (SUB, const("Brand#1")))
 part("controls_if", G + "controls_if", [(G + "bool_b", TEST), (G + "any_true", NAME), (G + "any_false", const("no"))], "case when starts_with(p_brand, 'Brand#1') then p_name else 'no' end")
 part("controls_if_condition", G + "controls_if", [(G + "bool_b", 'rml:template "{p_size} > 25"'), (G + "any_true", const("big")), (G + "any_false", const("small"))], "case when p_size > 25 then 'big' else 'small' end")
-part("controls_if_cast", "kgc:controls_if_cast", [(G + "bool_b", const("yes")), (G + "any_true", NAME), (G + "any_false", const("no"))], "p_name")
+part("controls_if_cast", "bi:controls_if_cast", [(G + "bool_b", const("yes")), (G + "any_true", NAME), (G + "any_false", const("no"))], "p_name")
 END = fx(G + "string_endsWith", (V, BRAND), (SUB, const("1")))
 for _op, _sql in (("and", "{a} and {b}"), ("or", "{a} or {b}"), ("xor", "({a}) <> ({b})")):
     part(f"boolean_{_op}", G + f"boolean_{_op}", [(G + "param_rep_b", TEST), (G + "param_rep_b", END)], BOOL.format(_sql.format(a="starts_with(p_brand, 'Brand#1')", b="ends_with(p_brand, '1')")))
@@ -294,7 +295,7 @@ def order(name: str, function: str, args: list[tuple[str, str]], sql: str | None
 
 DAY = fx(G + "string_substring", (V, ODATE), (G + "param_int_i_from", const("0")), (G + "param_int_i_opt_to", const("10")))
 order("date_toDate", G + "date_toDate", [(V, DAY), (G + "p_string_pattern", const("yyyy-MM-dd"))], "strftime(o_orderdate, '%Y-%m-%dT00:00:00')")
-order("date_toDate_python", "kgc:date_toDate", [("kgc:valueParameter", DAY), ("kgc:p_string_pattern", const("%Y-%m-%d"))], "strftime(o_orderdate, '%Y-%m-%dT00:00:00')")
+order("date_toDate_python", "bi:date_toDate", [("bi:valueParameter", DAY), ("bi:p_string_pattern", const("%Y-%m-%d"))], "strftime(o_orderdate, '%Y-%m-%dT00:00:00')")
 order("date_now", G + "date_now", [], None)
 order("date_diff", G + "date_diff", [(G + "p_datetime_d", ODATE), (G + "p_datetime_d2", const("2000-01-01T00:00:00")), (G + "p_string_timeunit", const("d"))], "cast(cast(floor(abs(epoch(o_orderdate) - epoch(timestamp '2000-01-01')) / 86400) as bigint) as varchar)")
 for _u, _sql in (("year", "year(o_orderdate)"), ("month", "month(o_orderdate)"), ("day", "day(o_orderdate)"), ("hour", "hour(o_orderdate)"), ("weekday", "dayname(o_orderdate)"), ("week", "(day(o_orderdate) - 1) // 7 + 1"), ("time", "epoch_ms(o_orderdate)")):
@@ -303,19 +304,28 @@ order("date_inc", G + "date_inc", [(G + "p_date_d", DAY), (G + "p_dec_n", const(
 Q["fn_nested"] = Query(HEAD + tm("A", "part", t("part/{p_partkey}"), pom("out", fx(G + "toUpperCase", (V, fx(G + "reverse", (V, NAME)))))), select(PART, "out", lit("upper(reverse(p_name))"), "part"))
 Q["fn_explode"] = Query(HEAD + tm("A", "documents", t("doc/{doc_id}"), pom("line", fx(G + "string_split", (V, ref("text")), (G + "p_string_sep", 'rml:constant "\\n"')))), select(DOC, "line", lit("x"), "(select doc_id, unnest(string_split(text, chr(10))) as x from documents where text not in ('', 'nan')) where x not in ('', 'nan')"))
 Q["fn_conditional"] = Query(HEAD + tm("A", "orders", t("order/{o_orderkey}"), pom("urgent", fx("idlab:trueCondition", ("idlab:str", ref("o_custkey")), ("idlab:strBoolean", fx(G + "string_startsWith", (V, ref("o_orderpriority")), (SUB, const("1-"))))))), select(ORDER, "urgent", lit("o_custkey"), "orders where starts_with(o_orderpriority, '1-')"))
-Q["fn_subject"] = Query(HEAD + tm("A", "part", fx("kgc:hash_iri", (V, NAME)), pom("size", ref("p_size"))), select("'<http://example.com/ns#' || sha256(p_name) || '>'", "size", lit("p_size"), "part"))
-Q["fn_predicate_graph"] = Query(HEAD + tm("A", "part", t("part/{p_partkey}"), f"rml:predicateMap [ {fx('kgc:hash_iri', (V, BRAND))} ] ; rml:objectMap [ {SIZE} ] ; rml:graphMap [ {fx('kgc:hash_iri', (V, PTYPE))} ]"), f"select distinct {PART} as s, '<http://example.com/ns#' || sha256(p_brand) || '>' as p, {lit('p_size')} as o, '<http://example.com/ns#' || sha256(p_type) || '>' as g from part", quads=True)
+Q["fn_subject"] = Query(HEAD + tm("A", "part", fx("bi:hash_iri", (V, NAME)), pom("size", ref("p_size"))), select("'<http://example.com/ns#' || sha256(p_name) || '>'", "size", lit("p_size"), "part"))
+Q["fn_predicate_graph"] = Query(HEAD + tm("A", "part", t("part/{p_partkey}"), f"rml:predicateMap [ {fx('bi:hash_iri', (V, BRAND))} ] ; rml:objectMap [ {SIZE} ] ; rml:graphMap [ {fx('bi:hash_iri', (V, PTYPE))} ]"), f"select distinct {PART} as s, '<http://example.com/ns#' || sha256(p_brand) || '>' as p, {lit('p_size')} as o, '<http://example.com/ns#' || sha256(p_type) || '>' as g from part", quads=True)
 Q["fn_language"] = Query(HEAD + tm("A", "documents", t("doc/{doc_id}"), pom("source", ref("source", f"rml:languageMap [ {fx(G + 'toLowerCase', (V, ref('lang')))} ]"))), select(DOC, "source", lit("source", "'@' || lower(lang)"), "documents where source not in ('', 'nan') and lang not in ('', 'nan')"))
 
 
 # --- files made from the tables
-def made_files(spark: SparkSession, sf_dir: str) -> str:
-    """nation and region as CSV, ORC, JSON and XML in the shared folder (a temporary one where none is set)."""
+def made_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one; in a temporary one where none is set and all runs in one process."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tripleloom-")
-    root = f"{root}/made-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tripleloom-")
+    return f"{root.rstrip('/')}/made-{uuid.uuid4().hex}"
+
+
+def made_files(spark: SparkSession, sf_dir: str) -> str:
+    """nation and region as CSV, ORC, JSON and XML in the shared folder (a temporary one where none is set)."""
+    root = made_folder(spark)
     for name in ("nation", "region"):
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet").coalesce(1)
         df.write.option("header", True).csv(f"{root}/{name}.csv")
@@ -348,6 +358,86 @@ Q["scan_tables_by_name"] = Query(nation_scan('[ rml:tableName "loom_nation" ]'),
 Q["json_reference"] = Query(HEAD + tm("A", '[ rml:query "select event_id, get_json_object(props, \'$.k\') as k from \'{sf}/events.parquet\'" ]', t("event/{event_id}"), pom("k", ref("k"))), select(iri("event/", "event_id"), "k", lit("x"), "(select event_id, json_extract_string(props, '$.k') as x from events) where x not in ('', 'nan')"))
 
 
+def temporary() -> str:
+    """A folder of the driver's machine, for what the driver alone reads: databases in a file, files of functions."""
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="tripleloom-")
+
+
+def made_database(spark: SparkSession, sf_dir: str) -> str:
+    """orders in a SQLite table: whole and broken numbers, text with nulls, a date, a truth value, bytes."""
+    import sqlite3
+
+    at = temporary()
+    con = sqlite3.connect(f"{at}/orders.db")
+    con.execute("create table orders (k integer primary key, total double, status varchar(5), day date, urgent boolean, mark varbinary(9))")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "o_totalprice", "nullif(o_orderstatus, 'P')", "cast(date(o_orderdate) as string)", "int(o_orderpriority like '1%')", "cast(o_orderstatus as binary)")
+    con.executemany("insert into orders values (?, ?, ?, ?, ?, ?)", ((*r[:5], bytes(r[5])) for r in rows.toLocalIterator()))
+    con.commit()
+    con.close()
+    return at
+
+
+def made_documents(spark: SparkSession, sf_dir: str) -> str:
+    """Customers with their orders, as JSON with nested lists and missing keys, and as XML with attributes."""
+    root = made_folder(spark)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("id"), F.struct(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status")).alias("o"))
+    own = orders.groupBy("id").agg(F.collect_list("o").alias("orders"))
+    own.select(F.to_json(F.struct("id", F.struct(F.col("orders").alias("list")).alias("own"))).alias("value")).write.text(f"{root}/customers.jsonl")
+    each = F.transform("orders", lambda o: F.concat(F.lit('<order key="'), o["key"].cast("string"), F.lit('"'), F.coalesce(F.concat(F.lit(' status="'), o["status"], F.lit('"')), F.lit("")), F.lit("/>")))
+    line = F.concat(F.lit('<customer id="'), F.col("id").cast("string"), F.lit('">'), F.array_join(each, ""), F.lit("</customer>"))
+    own.select(line.alias("x")).agg(F.concat(F.lit("<all>"), F.concat_ws("", F.collect_list("x")), F.lit("</all>")).alias("value")).coalesce(1).write.text(f"{root}/customers.xml")
+    return root
+
+
+def made_functions(spark: SparkSession, sf_dir: str) -> str:
+    at = temporary()
+    with open(f"{at}/own.py", "w") as f:
+        f.write("""
+@udf(fun_id="http://ex.org/label", text="http://ex.org/text", size="http://ex.org/size")
+def label(text, size):
+    return None if int(size) > 40 else f"{text.upper()} ({int(size) * 2})"
+
+
+@udf(fun_id="http://ex.org/parts", text="http://ex.org/text")
+def parts(text):
+    return text.split(" ")
+""")
+    return at
+
+
+_O = "(select o_orderkey, nullif(o_orderstatus, 'P') as status, o_totalprice, cast(cast(o_orderdate as date) as varchar) as day, o_orderpriority like '1%' as urgent, hex(o_orderstatus::blob) as mark from orders)"
+_KEY = iri("order/", "o_orderkey")
+Q["scan_sqlite"] = Query(
+    HEAD + tm("A", '[ rml:tableName "orders" ]', t("order/{k}"), *(pom(x, ref(x)) for x in ("total", "status", "day", "urgent", "mark"))),
+    union(select(_KEY, "total", lit("o_totalprice"), _O), select(_KEY, "status", lit("status"), f"{_O} where status is not null"), select(_KEY, "day", lit("day"), _O), select(_KEY, "urgent", lit("case when urgent then 'True' else 'False' end"), _O), select(_KEY, "mark", lit("mark"), _O)),
+    options={"db_url": "sqlite:///{made}/orders.db"}, prepare=made_database)
+Q["scan_sqlite_query"] = Query(HEAD + tm("A", '[ rml:query "select k, status from orders where urgent = 1" ]', t("order/{k}"), pom("status", ref("status"))), select(_KEY, "status", lit("status"), f"{_O} where urgent and status is not null"), options={"db_url": "sqlite:///{made}/orders.db"}, prepare=made_database)
+_NESTED = '[ rml:source "{made}/customers.%s" ; rml:referenceFormulation rml:%s ; rml:iterator "%s" ]'
+_CUSTOMER_ORDER = union(select(iri("customer/", "o_custkey"), "placed", iri("order/", "o_orderkey"), "orders"), select(iri("order/", "o_orderkey"), "status", lit("o_orderstatus"), "orders where o_orderstatus <> 'P'"))
+Q["scan_json_nested"] = Query(HEAD + tm("A", _NESTED % ("jsonl", "JSONPath", "$"), t("customer/{id}"), pom("placed", t("order/{own.list[*].key}"))) + tm("B", _NESTED % ("jsonl", "JSONPath", "$.own.list[*]"), t("order/{key}"), pom("status", ref("status"))), _CUSTOMER_ORDER, prepare=made_documents)
+Q["scan_xml_attributes"] = Query(HEAD + tm("A", _NESTED % ("xml", "XPath", "/all/customer"), t("customer/{@id}"), pom("placed", t("order/{order/@key}"))) + tm("B", _NESTED % ("xml", "XPath", "/all/customer/order"), t("order/{@key}"), pom("status", ref("@status"))), _CUSTOMER_ORDER, prepare=made_documents)
+Q["fn_user_file"] = Query(
+    HEAD + tm("A", "part", t("part/{p_partkey}"), pom("label", fx("ex:label", ("ex:text", ref("p_name")), ("ex:size", ref("p_size")))), pom("part", fx("ex:parts", ("ex:text", ref("p_type"))))),
+    union(select(iri("part/", "p_partkey"), "label", lit("upper(p_name) || ' (' || p_size * 2 || ')'"), "part where p_size <= 40"), select(iri("part/", "p_partkey"), "part", lit("x"), "(select p_partkey, unnest(string_split(p_type, ' ')) as x from part)")),
+    options={"udfs": "{made}/own.py"}, prepare=made_functions)
+
+
+def sink(name: str, write: Callable) -> None:
+    """The lines that a sink wrote, read back, with their terms parted."""
+    base = Q["join_single"]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{made_folder(spark)}/out"
+        write(Engine(spark, mapping=base.mapping.replace("{sf}", sf_dir)), path)
+        line = r"^(\S+) (\S+) (.*) \.$"
+        return spark.read.option("recursiveFileLookup", "true").text(path).select(*(F.regexp_extract("value", line, k).alias(c) for k, c in enumerate(("s", "p", "o"), 1))).distinct()
+
+    run.sql, run.mapping = base.sql, base.mapping
+    Q["sink_" + name] = run
+
+
 # --- SQL views
 def view(name: str, query: str, subject: str, predicate: str, reference: str, sql: str | None = None) -> None:
     """query: SQL in which {table} stands for a file; sql: the same for the views of the tables."""
@@ -378,7 +468,11 @@ view("three_joins", "select o.o_orderkey as k, r.r_name as r from {orders} o, {c
 view("concat", "select s_suppkey, s_name || ' / ' || s_nationkey as label from {supplier}", "supplier/{s_suppkey}", "label", "label")
 view("json", "select event_id, json_extract_string(props, '$.k') as k from {events}", "event/{event_id}", "k", "k")
 view("unnest", "select p_partkey, unnest(string_split(p_type, ' ')) as w from {part}", "part/{p_partkey}", "word", "w")
-Q["view_unnest"].mapping = Q["view_unnest"].mapping.replace("unnest(string_split(p_type, ' '))", "unnest(split(p_type, ' '))")
+view("strftime", "select o_orderkey, strftime(o_orderdate, '%d/%m/%Y at %H:%M') as d from {orders}", "order/{o_orderkey}", "date", "d")
+view("lists", "select p_partkey, array_to_string(list_sort(list_distinct(string_split(p_type, ' '))), '.') as w from {part} where list_contains(string_split(p_type, ' '), 'STEEL') or starts_with(p_brand, 'Brand#1')", "part/{p_partkey}", "words", "w")
+view("lambda", "select o_orderkey, array_to_string(list_transform(list_filter(string_split(o_orderpriority, '-'), lambda x: length(x) > 1), lambda x: upper(x)), '+') as w from {orders}", "order/{o_orderkey}", "words", "w")
+view("regexp", "select o_orderkey, array_to_string(string_split_regex(o_orderpriority, '[0-9]-'), '>') as p from {orders} where regexp_matches(o_orderpriority, '^[12]')", "order/{o_orderkey}", "priority", "p")
+view("small_numbers", "select p_partkey, p_retailprice / 3e6 as x from {part}", "part/{p_partkey}", "x", "x")
 view("quoted_names", 'select "c_custkey" as "the key", "c_name" from {customer}', "customer/{the key}", "name", "c_name")
 Q["view_quoted_names"].sql = select(CUSTOMER, "name", lit("c_name"), "customer")
 
@@ -509,3 +603,8 @@ def _direct_sql(table: str, key: str, columns: dict[str, str | None], foreign: t
 
 
 Q["direct_mapping"] = Direct("", union(_direct_sql("region", "r_regionkey", {"r_regionkey": "integer", "r_name": None}, None), _direct_sql("nation", "n_nationkey", {"n_nationkey": "integer", "n_name": None, "n_regionkey": "integer"}, ("n_regionkey", "region", "r_regionkey")), _direct_sql("supplier", "s_suppkey", {"s_suppkey": "integer", "s_name": None, "s_nationkey": "integer", "s_acctbal": "double"}, ("s_nationkey", "nation", "n_nationkey"))))
+
+# --- sinks, read back
+sink("folder", lambda engine, path: sinks.write_folder(engine, path))
+sink("file", lambda engine, path: sinks.write_file(engine, path))
+sink("groups", lambda engine, path: sinks.write_groups(engine, path))

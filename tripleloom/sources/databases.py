@@ -112,8 +112,20 @@ def database(ctx: Context, source: LogicalSource) -> DataFrame:
 def cypher(ctx: Context, source: LogicalSource) -> DataFrame:
     """A Cypher query, by the database's Spark connector, which has to be on the class path."""
     section = ctx.config.sources[source.section]
-    u = urlparse(section.db_url)
-    reader = ctx.spark.read.format(section.options.get("connector", "org.neo4j.spark.DataSource")).option("url", f"{u.scheme}://{u.hostname}:{u.port or 7687}").option("query", source.value)
-    if u.username:
-        reader = reader.option("authentication.basic.username", unquote(u.username)).option("authentication.basic.password", unquote(u.password or ""))
-    return reader.load()
+    return ctx.spark.read.format(section.options.get("connector", "org.neo4j.spark.DataSource")).options(**cypher_options(section.db_url)).option("query", source.value).load()
+
+
+def cypher_options(url: str) -> dict[str, str]:
+    """Options of the connector from scheme://host:port@user:password/database or scheme://user:password@host:port/database; port, user and database may be missing."""
+    found = re.fullmatch(r"([\w+]+)://(?:(.*)@)?([^@]*?)(?:/([^/@]*))?", url)
+    if not found:
+        raise SourceError(f"not a database URL: {url!r}")
+    scheme, before, after, name = found.groups()
+    host_first = before is not None and re.fullmatch(r"[\w.-]+:\d+", before) and ":" in after and not re.fullmatch(r"[\w.-]+:7\d{3}", after)
+    # A password may hold an @ only where it is written as %40.
+    host, login = (before, after) if host_first else (after, before)
+    out = {"url": f"{scheme}://{host if ':' in host else host + ':7687'}"}
+    if login:
+        user, _, password = login.partition(":")
+        out |= {"authentication.basic.username": unquote(user), "authentication.basic.password": unquote(password)}
+    return out | ({"database": name} if name else {})

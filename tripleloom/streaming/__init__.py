@@ -1,6 +1,6 @@
 """Mapping streams: rules without joins are functions of a row and run on a streaming DataFrame.
 
-Referencing object maps may join a stream with a static parent. Statements that come again within the watermark are removed.
+Rules with joins, quoted statements or functions are refused. Statements that come again within the watermark are removed.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 from ..engine import Engine
 from ..operators.lexical import lexical
 from ..plans.compile import OUT, union
@@ -19,7 +18,7 @@ from ..sources import col
 def stream_quads(spark: SparkSession, mapping: str, streams: dict[str, DataFrame], time: str, delay: str = "10 minutes", memory: dict[str, Any] | None = None) -> DataFrame:
     """(s, p, o, g, time) of streams named ``{name}`` in the mapping, each with the event-time column ``time``.
 
-    Rules must be plain, or have functions whose results are single values; joins are refused.
+    Rules must be plain: their terms constants, references and templates.
     """
     engine = Engine(spark, mapping=mapping, memory=(memory or {}) | streams)
     c, parts = engine.compiler, []
