@@ -84,6 +84,45 @@ def test_a_small_radius_skips_tile_pairs():
                 assert (a <= other <= z) == (place[c, q][2] <= first <= place[c, q][3])
 
 
+def signs(rng, n, copies, flips):
+    """Random signatures, ``copies`` of them others with up to ``flips`` bits turned."""
+    sig = rng.integers(0, 256, (n, 32)).astype(np.uint8)
+    for k in rng.choice(n - 1, copies, replace=False) + 1:
+        bits = np.zeros(256, np.uint8)
+        bits[rng.choice(256, rng.integers(1, flips), replace=False)] = 1
+        sig[k] = sig[rng.integers(k)] ^ np.packbits(bits)
+    return sig[rng.permutation(n)].view(np.uint64)
+
+
+@pytest.mark.parametrize("radius, flips", [(56, 75), (31, 45), (80, 100), (12, 30)])
+def test_covering_masks_lose_and_repeat_no_pair(radius, flips):
+    rng = np.random.default_rng(radius)
+    sig, n = signs(rng, 3000, 1500, flips), rng.integers(60, 100, 3000)
+    sig[:60] = sig[0]
+    sig[:60, 1] ^= rng.integers(0, 2**8, 60).astype(np.uint64)  # all within the radius: runs of any length
+    for second in (None, rng.random(3000) < 0.3):
+        a, b = (np.arange(3000),) * 2 if second is None else (np.flatnonzero(~second), np.flatnonzero(second))
+        one = np.ones(3000)
+        want = [tuple(sorted((int(x), int(y)))) for r, q in S.close(sig[a], sig[b], one[a], one[b], second is None, radius) for x, y in zip(a[r], b[q])]
+        got = [(int(x), int(y)) for p, q in S.near(sig, second, radius) for x, y in zip(p, q)]
+        assert second is None or all(second[y] and not second[x] for x, y in got)
+        assert sorted(tuple(sorted(x)) for x in got) == sorted(want)
+        assert len(want) > 500
+
+
+def test_large_tasks_compare_few_of_their_pairs(monkeypatch):
+    """Of 40,000 rows less than a fifth of the pairs; where rows are too much alike, all of them, with the same result."""
+    count, seen = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda x, **o: (seen.append(np.size(x)), count(x, **o))[1])
+    sig, n = signs(np.random.default_rng(8), 40_000, 300, 40), np.full(40_000, 9)
+    met = [(int(x), int(y)) for p, q in S.pairs(sig, n, None) for x, y in zip(p, q)]
+    assert len(set(met)) == len(met) >= 300 and sum(seen) < 4 * 40_000**2 / 2 / 5
+    alike = np.repeat(sig[:1], 7000, axis=0)
+    alike[:, 0] ^= np.arange(7000, dtype=np.uint64)
+    assert not S.worth(alike, 7000**2 / 2, S.RADIUS)
+    assert sum(len(p) for p, _ in S.pairs(alike, n[:7000], None)) == 7000 * 6999 // 2
+
+
 def test_shared_ids_repeated_rows_and_no_ids(spark, documents):
     rng = random.Random(9)
     a, b = prose(rng, 50), prose(rng, 50)

@@ -1,14 +1,15 @@
-"""Near duplicates by SimHash: tiled exact comparison with exclusive-or and bit counts.
+"""Near duplicates by SimHash: tiled exact comparison with covering masks, or with exclusive-or and bit counts of all.
 
 A document's signature has 256 bits, the signs of the sums of hashed word bigrams, each weighted by 1 + ln(its count).
 Two documents are near duplicates when their signatures differ in at most ``RADIUS`` bits and the word count of
 the shorter is at least ``RATIO`` of the longer's. Unrelated texts differ in about 128 bits (standard deviation 8), so that
 56 lies 9 deviations off, while copies with a twentieth of the words replaced differ in about 45.
 
-Every pair that can qualify is compared: word counts are cut into bands a factor ``1 / RATIO`` wide, of which only
+Every pair that can qualify is met: word counts are cut into bands a factor ``1 / RATIO`` wide, of which only
 neighbours can hold near duplicates. The distinct signatures of a band are ordered by population count and cut into tiles; each pair of tiles is
 one task, and pairs of tiles whose population counts differ by more than the radius are left out (the difference is a lower bound of the distance), as are
-strips inside a task. A task gives, for each row that has a near duplicate in it, the number of these and a node of its component,
+strips inside a task. Inside a task the masks of ``covering.py`` bring together every pair within the radius and few others; small tasks, and those whose rows are too much
+alike for that, compare all with all. A task gives, for each row that has a near duplicate in it, the number of these and a node of its component,
 never the pairs, so a group of thousands of copies costs thousands of rows. Star contraction joins the tasks' components into groups.
 
 Rows are told apart by a number of their own, so null, shared and repeated doc_ids change nothing.
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, numbered, read, ready, words
+from .covering import near, worth
 from .graph import Forest, components
 
-RADIUS, RATIO, TILE, ROWS, STRIP = 56, 0.7, 16_384, 64, 2048
+RADIUS, RATIO, TILE, ROWS, STRIP = 56, 0.7, 262_144, 64, 2048
 WORDS = ("s0", "s1", "s2", "s3")
 
 
@@ -106,6 +108,19 @@ def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bo
                     yield r[ok], q[ok]
 
 
+def pairs(sig: np.ndarray, n: np.ndarray, second: np.ndarray | None, radius: int = RADIUS, ratio: float = RATIO) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of sig within the radius and the ratio of word counts, each once, in blocks; with ``second`` only of a row where it is false and one where it is true."""
+    a, b = (np.arange(len(sig)),) * 2 if second is None else (np.flatnonzero(~second), np.flatnonzero(second))
+    if worth(sig, len(a) * len(b) / (2 if second is None else 1), radius):
+        for r, q in near(sig, second, radius):
+            ok = np.minimum(n[r], n[q]) >= ratio * np.maximum(n[r], n[q])
+            if ok.any():
+                yield r[ok], q[ok]
+    else:
+        for r, q in close(sig[a], sig[b], n[a], n[b], second is None, radius, ratio):
+            yield a[r], b[q]
+
+
 def tiles(hist: list[tuple[int, int, int]], tile: int = TILE, radius: int = RADIUS) -> tuple[list[tuple[int, ...]], int]:
     """From (band, population count, rows): (band, pop, first, many, same_lo, same_hi, next_lo, next_hi, prev_lo, prev_hi), and the number of tile pairs.
 
@@ -148,7 +163,7 @@ def tiles(hist: list[tuple[int, int, int]], tile: int = TILE, radius: int = RADI
 def links(own: DataFrame, tile: int = TILE, radius: int = RADIUS, ratio: float = RATIO) -> DataFrame:
     """(node, root, n): for distinct signatures (id, s0..s3, n_words, m), by task, the ids that have near duplicates in it, a node of their component, and how many rows those are."""
     own = own.select("id", *WORDS, "n_words", "m", F.floor(F.ln("n_words") / F.lit(-math.log(ratio))).cast("int").alias("band"), sum(F.bit_count(w) for w in WORDS).alias("pop"))
-    table, pairs = tiles([tuple(r) for r in own.groupBy("band", "pop").count().collect()], tile, radius)  # some 30 bands of at most 257 rows
+    table, tasks = tiles([tuple(r) for r in own.groupBy("band", "pop").count().collect()], tile, radius)  # some 30 bands of at most 257 rows
     names = ("band", "pop", "first", "many", "same_lo", "same_hi", "next_lo", "next_hi", "prev_lo", "prev_hi")
     grid = F.broadcast(own.sparkSession.createDataFrame(table, ", ".join(f"{x} int" for x in names)))
     row = own.join(grid, ["band", "pop"]).withColumn("t", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int"))
@@ -171,10 +186,8 @@ def links(own: DataFrame, tile: int = TILE, radius: int = RADIUS, ratio: float =
         sig = pdf[list(WORDS)].to_numpy(np.int64).view(np.uint64).reshape(-1, 4)
         n, m, ids = (pdf[x].to_numpy() for x in ("n_words", "m", "id"))
         one = pdf["i"].iat[0] == pdf["j"].iat[0]
-        a, b = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(~second), np.flatnonzero(second))
         many, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
-        for r, q in close(sig[a], sig[b], n[a], n[b], one, radius, ratio):
-            r, q = a[r], b[q]
+        for r, q in pairs(sig, n, None if one else second, radius, ratio):
             np.add.at(many, r, m[q])
             np.add.at(many, q, m[r])
             forest.join(r, q)
@@ -182,7 +195,7 @@ def links(own: DataFrame, tile: int = TILE, radius: int = RADIUS, ratio: float =
         return pd.DataFrame({"node": ids[k], "root": ids[forest.root[k]], "n": many[k]})
 
     # A number of its own keeps the adaptive planner from packing heavy tasks together.
-    parts = max(1, min(20_000, max(2 * pairs, own.sparkSession.sparkContext.defaultParallelism)))
+    parts = max(1, min(20_000, max(2 * tasks, own.sparkSession.sparkContext.defaultParallelism)))
     return rows.repartition(parts, "band", "i", "j").groupBy("band", "i", "j").applyInPandas(compare, "node long, root long, n long")
 
 
