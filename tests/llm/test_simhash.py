@@ -123,6 +123,21 @@ def test_large_tasks_compare_few_of_their_pairs(monkeypatch):
     assert sum(len(p) for p, _ in S.pairs(alike, n[:7000], None)) == 7000 * 6999 // 2
 
 
+@pytest.mark.parametrize("cross", [False, True])
+def test_a_crowd_costs_the_other_rows_little(monkeypatch, cross):
+    """A tenth of the rows lie at about the radius from each other: they are compared with all, the others with few, and the pairs are the same."""
+    rng = np.random.default_rng(5)
+    sig, n = signs(rng, 16_000, 200, 40), rng.integers(60, 100, 16_000)
+    turned = np.packbits(rng.random((1600, 256)) < 0.125, axis=1).view(np.uint64)
+    sig[::10] = sig[0] ^ turned
+    second = rng.random(16_000) < 0.4 if cross else None
+    assert (S.crowded(sig, S.RADIUS).nonzero()[0] % 10 == 0).all() and S.crowded(sig, S.RADIUS).sum() > 1000
+    got = sorted(tuple(sorted((int(x), int(y)))) for p, q in S.pairs(sig, n, second) for x, y in zip(p, q))
+    monkeypatch.setattr(S, "worth", lambda *_: False)
+    assert got == sorted(tuple(sorted((int(x), int(y)))) for p, q in S.pairs(sig, n, second) for x, y in zip(p, q))
+    assert len(got) > 100_000
+
+
 def test_shared_ids_repeated_rows_and_no_ids(spark, documents):
     rng = random.Random(9)
     a, b = prose(rng, 50), prose(rng, 50)

@@ -6,8 +6,9 @@ threshold t_i of bits, and together with the next part (around a ring) in at mos
 vector has an odd product with v. Whatever t_i bits differ, some v other than 0 is orthogonal to their vectors, and its mask keeps none of them (Pagh's
 covering codes). So rows equal under a mask are compared, on 64 bits first, and every pair within the radius is met; where it is met more than once, the first part and mask count.
 
-A mask keeps about half of a part's bits, so that a row meets a small part of the others. Where rows are few or much alike comparing all costs less, which
-``worth()`` finds out from one mask a part; both give the same pairs.
+A mask keeps about half of a part's bits, so that a row meets a small part of the others. Rows that lie in crowds, as texts made from one template do, meet each other under
+many masks; ``crowded()`` finds them from one mask a part, to be compared with all rows. Where rows are few, or the rest are still much alike, comparing all with all costs less, which
+``worth()`` finds out likewise. All ways give the same pairs.
 """
 
 from __future__ import annotations
@@ -118,14 +119,33 @@ def parts(radius: int) -> list[tuple[int, int, int, np.ndarray]]:
     return [(first, bits + more, t + s + 1, masks(bits, t + 1)) for (first, bits, t), (_, more, s) in zip(own, own[1:] + own[:1])]
 
 
+def typical(covers: np.ndarray) -> np.uint32:
+    """A mask under which rather more rows are equal than under most."""
+    weight = np.bitwise_count(covers)
+    return covers[np.argsort(weight, kind="stable")[len(covers) // 4]]
+
+
+def crowded(sig: np.ndarray, radius: int) -> np.ndarray:
+    """Whether a row costs less by comparing it with all others than in near()."""
+    cost = np.zeros(len(sig))
+    if len(sig) < FEW or not layout(radius):
+        return cost > 0
+    for first, bits, limit, own in parts(radius):
+        u, mask, held = window(sig, first, bits), typical(own), 0
+        for p, q in met(u, *order(u, mask), mask, limit):
+            cost += len(own) * PASSED / 2 * (np.bincount(p, minlength=len(sig)) + np.bincount(q, minlength=len(sig)))
+            if (held := held + len(p)) > 64 * len(sig):  # enough to know the crowds
+                break
+    return cost > ALL * len(sig)
+
+
 def worth(sig: np.ndarray, compared: float, radius: int) -> bool:
     """Whether near() costs less than comparing so many pairs of rows."""
     if len(sig) < FEW or not layout(radius):
         return False
     cost = 0.0
     for first, bits, limit, own in parts(radius):
-        u, mask = window(sig, first, bits), np.sort(np.bitwise_count(own))[len(own) // 4]
-        mask = own[np.flatnonzero(np.bitwise_count(own) == mask)[0]]
+        u, mask = window(sig, first, bits), typical(own)
         o, left = order(u, mask)
         cost += len(own) * (SORT * len(sig) + RUN * float(left.sum()))
         if cost > ALL * compared:

@@ -8,8 +8,8 @@ the shorter is at least ``RATIO`` of the longer's. Unrelated texts differ in abo
 Every pair that can qualify is met: word counts are cut into bands a factor ``1 / RATIO`` wide, of which only
 neighbours can hold near duplicates. The distinct signatures of a band are ordered by population count and cut into tiles; each pair of tiles is
 one task, and pairs of tiles whose population counts differ by more than the radius are left out (the difference is a lower bound of the distance), as are
-strips inside a task. Inside a task the masks of ``covering.py`` bring together every pair within the radius and few others; small tasks, and those whose rows are too much
-alike for that, compare all with all. A task gives, for each row that has a near duplicate in it, the number of these and a node of its component,
+strips inside a task. Inside a task the masks of ``covering.py`` bring together every pair within the radius and few others; rows in crowds of like texts are compared with all, as
+are all rows of small tasks. A task gives, for each row that has a near duplicate in it, the number of these and a node of its component,
 never the pairs, so a group of thousands of copies costs thousands of rows. Star contraction joins the tasks' components into groups.
 
 Rows are told apart by a number of their own, so null, shared and repeated doc_ids change nothing.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, numbered, read, ready, words
-from .covering import near, worth
+from .covering import crowded, near, worth
 from .graph import Forest, components
 
 RADIUS, RATIO, TILE, ROWS, STRIP = 56, 0.7, 262_144, 64, 2048
@@ -110,15 +110,26 @@ def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bo
 
 def pairs(sig: np.ndarray, n: np.ndarray, second: np.ndarray | None, radius: int = RADIUS, ratio: float = RATIO) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of sig within the radius and the ratio of word counts, each once, in blocks; with ``second`` only of a row where it is false and one where it is true."""
-    a, b = (np.arange(len(sig)),) * 2 if second is None else (np.flatnonzero(~second), np.flatnonzero(second))
-    if worth(sig, len(a) * len(b) / (2 if second is None else 1), radius):
-        for r, q in near(sig, second, radius):
+    crowd = crowded(sig, radius)
+    rest = np.flatnonzero(~crowd)
+    side = None if second is None else second[rest]
+    if worth(sig[rest], len(rest) ** 2 / 2 if side is None else float(side.sum()) * float((~side).sum()), radius):
+        for r, q in near(sig[rest], side, radius):
+            r, q = rest[r], rest[q]
             ok = np.minimum(n[r], n[q]) >= ratio * np.maximum(n[r], n[q])
             if ok.any():
                 yield r[ok], q[ok]
     else:
-        for r, q in close(sig[a], sig[b], n[a], n[b], second is None, radius, ratio):
-            yield a[r], b[q]
+        crowd = np.ones(len(sig), bool)
+    # The crowd with all.
+    if second is None:
+        both = [(np.flatnonzero(crowd), np.flatnonzero(crowd)), (np.flatnonzero(crowd), np.flatnonzero(~crowd))]
+    else:
+        both = [(np.flatnonzero(crowd & ~second), np.flatnonzero(second)), (np.flatnonzero(~crowd & ~second), np.flatnonzero(crowd & second))]
+    for k, (a, b) in enumerate(both):
+        if len(a) and len(b):
+            for r, q in close(sig[a], sig[b], n[a], n[b], second is None and k == 0, radius, ratio):
+                yield a[r], b[q]
 
 
 def tiles(hist: list[tuple[int, int, int]], tile: int = TILE, radius: int = RADIUS) -> tuple[list[tuple[int, ...]], int]:
