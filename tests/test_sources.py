@@ -110,6 +110,34 @@ def test_sqlite_with_datatypes(spark, db):
     assert got == {("id", f'"10"{x}integer>'), ("id", f'"20"{x}integer>'), ("w", f'"71.25"{x}double>'), ("born", f'"1979-03-02"{x}date>'), ("dues", f'"true"{x}boolean>'), ("dues", f'"false"{x}boolean>'), ("sails", '"Heron"')}
 
 
+def test_sqlite_is_read_by_tasks(spark, tmp_path, monkeypatch):
+    """No row passes the driver; ranges of row numbers (negative, far apart) and queries give every row once, in their types."""
+    from tripleloom.sources import databases
+
+    con = sqlite3.connect(tmp_path / "b.db")
+    con.execute("create table n (k integer, x double, b boolean, rowid text, bytes blob)")
+    data = [(k if k % 7 else None, k / 2 if k % 3 else k, k % 2, "r" * 99, b"\x01" if k % 2 else "t") for k in range(2**60, 2**60 + 3000)]
+    con.executemany("insert into n (_rowid_, k, x, b, rowid, bytes) values (?, ?, ?, ?, ?, ?)", ((j - 9 if j < 2900 else 2**62 + j, *r) for j, r in enumerate(data)))
+    con.execute("create table w (a text primary key, b) without rowid")
+    con.executemany("insert into w values (?, ?)", [("x", 1), ("y", 2.5), ("z", None)])
+    con.execute("create table e (a integer)")
+    con.commit()
+    con.close()
+    monkeypatch.setattr(databases, "PIECE", 20_000)
+    ctx = Context(spark, Config(sources={"": Source("", db_url=f"sqlite:///{tmp_path}/b.db")}))
+    df = databases.database(ctx, LogicalSource("", "tableName", "n"))
+    assert "MapInArrow" in df._jdf.queryExecution().toString() and df.rdd.getNumPartitions() > 10
+    key = lambda r: tuple(str(x) for x in r)
+    want = sorted(((k, float(x), bool(b), r, y if isinstance(y, bytes) else y.encode()) for k, x, b, r, y in data), key=key)
+    assert sorted(((k, x, b, r, bytes(y)) for k, x, b, r, y in df.collect()), key=key) == want
+    df = databases.database(ctx, LogicalSource("", "query", "with q as (select k from n) select k, k as K2, 'a' || k as t from q where k is not null -- end"))
+    assert "MapInArrow" in df._jdf.queryExecution().toString() and df.dtypes == [("k", "bigint"), ("K2", "bigint"), ("t", "string")]
+    assert sorted(r.k for r in df.collect()) == sorted(r[0] for r in data if r[0])
+    df = databases.database(ctx, LogicalSource("", "tableName", "w"))
+    assert sorted(map(tuple, df.collect())) == [("x", "1"), ("y", "2.5"), ("z", None)]
+    assert databases.database(ctx, LogicalSource("", "tableName", "e")).collect() == []
+
+
 def test_direct_mapping_of_a_database(spark, db):
     text = direct_mapping(sqlite_schema(str(db)), "http://ex.org/")
     got = {(r.s, r.p, r.o) for r in Engine(spark, mapping=text, db_url=f"sqlite:///{db}").triples().collect()}

@@ -367,15 +367,39 @@ def temporary() -> str:
 
 def made_database(spark: SparkSession, sf_dir: str) -> str:
     """orders in a SQLite table: whole and broken numbers, text with nulls, a date, a truth value, bytes."""
+    import os
     import sqlite3
+    from urllib.parse import unquote, urlparse
 
-    at = temporary()
-    con = sqlite3.connect(f"{at}/orders.db")
-    con.execute("create table orders (k integer primary key, total double, status varchar(5), day date, urgent boolean, mark varbinary(9))")
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "o_totalprice", "nullif(o_orderstatus, 'P')", "cast(date(o_orderdate) as string)", "int(o_orderpriority like '1%')", "cast(o_orderstatus as binary)")
-    con.executemany("insert into orders values (?, ?, ?, ?, ?, ?)", ((*r[:5], bytes(r[5])) for r in rows.toLocalIterator()))
-    con.commit()
-    con.close()
+
+    def fill(at: str, batches) -> None:
+        con = sqlite3.connect(at)
+        con.execute("pragma synchronous = off")
+        con.execute("create table orders (k integer primary key, total double, status varchar(5), day date, urgent boolean, mark varbinary(9))")
+        for batch in batches:
+            con.executemany("insert into orders values (?, ?, ?, ?, ?, ?)", batch)
+        con.commit()
+        con.close()
+
+    root = urlparse(made_folder(spark))
+    if root.scheme not in ("", "file"):  # no path that SQLite could write to
+        at = temporary()
+        fill(f"{at}/orders.db", ([(*r[:5], r[5] and bytes(r[5]))] for r in rows.toLocalIterator()))
+        return at
+    at = unquote(root.path)
+
+    def write(batches):
+        """One task writes the file; an attempt has its own, which takes the name when it is whole."""
+        import uuid
+
+        own = f"{at}/{uuid.uuid4().hex}"
+        os.makedirs(at, exist_ok=True)
+        fill(own, (zip(*(c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist() for c in b.columns)) for b in batches))
+        os.replace(own, f"{at}/orders.db")
+        yield from ()
+
+    rows.coalesce(1).mapInArrow(write, "none int").count()
     return at
 
 

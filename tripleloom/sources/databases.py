@@ -1,11 +1,13 @@
-"""Relational databases over JDBC, SQLite files by the standard library, and graph databases by their Spark connector."""
+"""Relational databases over JDBC, SQLite files by the standard library in tasks, and graph databases by their Spark connector."""
 
 from __future__ import annotations
 
+import os
 import re
 import sqlite3
 from urllib.parse import parse_qs, unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..mapping.rules import LogicalSource
@@ -34,34 +36,123 @@ def xsd_of(spark_type: str) -> str | None:
     return XSD + name if name else None
 
 
+#: Bytes of a SQLite file that one task reads.
+PIECE = 16_000_000
+FETCH = 10_000
+
+
+def _made(kind: str, v):
+    """A SQLite value as one of a column's Spark type."""
+    if v is None:
+        return None
+    match kind:
+        case "long":
+            return v if isinstance(v, int) else None if isinstance(v, bytes) else int(float(v))
+        case "double":
+            return float(v)
+        case "boolean":
+            return str(v).lower() in ("1", "true", "t", "yes")
+        case "binary":
+            return v if isinstance(v, bytes) else str(v).encode()
+    return str(v)
+
+
+def _column(kind: str, values: tuple, arrow: pa.DataType) -> pa.Array:
+    """A column of SQLite values; where all are of its type already, none is looked at by itself."""
+    try:
+        return pa.array(values, arrow)
+    except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError):
+        return pa.array([_made(kind, v) for v in values], arrow)
+
+
+def _reachable(ctx: Context, path: str) -> str | None:
+    """The path, if executors see the file there; else None, and the file is sent to each of them."""
+    sc = ctx.spark.sparkContext
+    if sc.master.startswith("local"):
+        return path
+    size, n = os.path.getsize(path), sc.defaultParallelism
+    if all(sc.parallelize(range(n), n).map(lambda _: os.path.exists(path) and os.path.getsize(path) == size).collect()):
+        return path
+    sc.addFile(path)
+    return None
+
+
+def _seen(db: sqlite3.Connection, query: str, n: int) -> list[str]:
+    """Spark types of a query's columns, by all its values; no row is kept."""
+    cs = [f"c{k}" for k in range(n)]
+    try:
+        found = db.execute(f"WITH loom ({', '.join(cs)}) AS ({query}\n) SELECT DISTINCT {', '.join(f'typeof({c})' for c in cs)} FROM loom")
+        kinds = [set(x) - {"null"} for x in zip(*found)] or [set()] * n
+    except sqlite3.OperationalError:  # no query that can stand within another
+        names = {int: "integer", float: "real", bytes: "blob", str: "text"}
+        kinds = [set() for _ in cs]
+        for r in db.execute(query):
+            for own, v in zip(kinds, r):
+                if v is not None:
+                    own.add(names[type(v)])
+    return ["long" if own == {"integer"} else "double" if own and own <= {"integer", "real"} else "binary" if own == {"blob"} else "string" for own in kinds]
+
+
+def _row_ids(db: sqlite3.Connection, table: str, names: list[str]) -> tuple[str, int, int] | None:
+    """The name of a table's row number, its least and greatest; None for views, tables without one and empty ones."""
+    taken = {n.lower() for n in names}
+    for name in (x for x in ("rowid", "_rowid_", "oid") if x not in taken):
+        try:
+            lo, hi = db.execute(f'SELECT (SELECT min({name}) FROM "{table}"), (SELECT max({name}) FROM "{table}")').fetchone()
+        except sqlite3.OperationalError:
+            return None
+        return (name, lo, hi) if isinstance(lo, int) and isinstance(hi, int) else None
+    return None
+
+
 def _sqlite(ctx: Context, path: str, source: LogicalSource) -> DataFrame:
+    """Tasks read the file, batch by batch: a table by ranges of its row numbers, a query in one task. The driver looks at types and ranges only."""
     db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
     try:
+        pieces = -(-os.path.getsize(path) // PIECE)
         if source.kind == "tableName":
-            name = source.value.replace('"', '""')
-            info = db.execute(f'PRAGMA table_info("{name}")').fetchall()
+            table = source.value.replace('"', '""')
+            info = db.execute(f'PRAGMA table_info("{table}")').fetchall()
             if not info:
                 raise SourceError(f"no table {source.value!r} in {path}")
-            kinds = {r[1]: declared(r[2]) for r in info}
-            cursor = db.execute(f'SELECT * FROM "{name}"')
+            kinds = {r[1]: declared(r[2])[0] for r in info}
+            query = f'SELECT * FROM "{table}"'
+            names = [d[0] for d in db.execute(query + " LIMIT 0").description]
+            own = [kinds[n] for n in names]
+            ids = _row_ids(db, table, names)
         else:
-            cursor = db.execute(source.value)
-            kinds = {}
-        names = [d[0] for d in cursor.description]
-        rows = cursor.fetchall()
+            query, ids = source.value.strip().rstrip(";"), None
+            names = [d[0] for d in db.execute(query).description]
+            own = _seen(db, query, len(names))
     finally:
         db.close()
-
-    def kind(k: int) -> str:
-        if names[k] in kinds:
-            return kinds[names[k]][0]
-        seen = {type(r[k]) for r in rows if r[k] is not None}
-        return "long" if seen == {int} else "double" if seen and seen <= {int, float} else "binary" if seen == {bytes} else "string"
-
-    own = [kind(k) for k in range(len(names))]
-    make = {"long": lambda v: int(float(v)) if not isinstance(v, bytes) else None, "double": float, "boolean": lambda v: str(v).lower() in ("1", "true", "t", "yes"), "binary": lambda v: v if isinstance(v, bytes) else str(v).encode(), "string": str}
-    data = [tuple(None if v is None else make[t](v) for v, t in zip(r, own)) for r in rows]
-    return ctx.spark.createDataFrame(data, ", ".join(f"c{k} {t}" for k, t in enumerate(own))).toDF(*names)
+    if ids:
+        number, lo, hi = ids
+        n = max(1, min(pieces, hi - lo + 1))
+        cuts = [lo + (hi + 1 - lo) * k // n for k in range(n + 1)]
+        queries = [f"{query} WHERE {number} >= {a} AND {number} < {b}" for a, b in zip(cuts, cuts[1:-1])] + [f"{query} WHERE {number} >= {cuts[-2]}"]
+    else:
+        queries = [query]
+    at, file = _reachable(ctx, path), os.path.basename(path)
+    arrow = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}[t] for t in own]
+
+    def read(batches):
+        from pyspark import SparkFiles
+
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                db = sqlite3.connect(f"file:{at or SparkFiles.get(file)}?mode=ro", uri=True)
+                try:
+                    cursor = db.execute(queries[k])
+                    while rows := cursor.fetchmany(FETCH):
+                        yield pa.RecordBatch.from_arrays([_column(t, c, a) for t, a, c in zip(own, arrow, zip(*rows))], [f"c{j}" for j in range(len(own))])
+                finally:
+                    db.close()
+
+    out = ctx.spark.range(0, len(queries), 1, len(queries)).mapInArrow(read, ", ".join(f"c{k} {t}" for k, t in enumerate(own)))
+    if len(queries) == 1 and pieces > 1:  # what follows shall not be one task's work; up to 200 parts are written without sorting
+        out = out.repartition(min(pieces, 200), *out.columns)
+    return out.toDF(*names)
 
 
 def table_types(ctx: Context, source: LogicalSource) -> dict[str, str | None]:
