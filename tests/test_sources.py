@@ -77,6 +77,46 @@ def test_xml(rows, tmp_path):
     assert rows(tmp_path / "a.xml", ["."], "/cs/c/rank") == [("1",), ("2",)]
 
 
+def test_xml_is_read_piece_by_piece(spark, rows, tmp_path):
+    """Pieces cut anywhere after a > give what the whole document does, and only the iterator's element is held."""
+    import xml.etree.ElementTree as ET
+
+    from tripleloom.sources.nested import xml_items, xml_steps, xml_stream, xml_values
+
+    text = '<?xml version="1.0"?><!-- <c> > --><r xmlns:n="http://n" a=">"><c k="1">x<![CDATA[ > ]]><c k="2"><d>y</d></c><n:e k="3">\n</n:e></c><m><c k="4"/><d>z > z</d></m><d k="5">w</d></r>\n'
+    spaces = {"n": "http://n"}
+    for iterator in ("/r/c", "/r", "/*/c/c", "//c", "//d", "//c/d", "//r", "c", "d", "c/d", "m/d", "/r/c/n:e", "//n:e", "/r/*", "//*", "/x/c", "/r/m/d[1]", "/", None):
+        for refs in (["@k"], ["."], ["d", "@k"]):
+            want = sorted([tuple(xml_values(e, r, spaces)[:1] or [None]) if len(refs) == 1 else (e.findtext("d"), e.get("k")) for e in xml_items(ET.fromstring(text), iterator, spaces) for r in refs[:1] if len(refs) == 1 or e.find("d") is not None], key=str)
+            (tmp_path / "p.xml").write_text(text)
+            assert rows(tmp_path / "p.xml", refs, iterator) == want, (iterator, refs)
+    held, kept = [], []
+
+    def long():
+        yield "<all>"
+        for k in range(5000):
+            yield f"<c k='{k}'><d/></c><other><d/></other>"
+        yield "</all>"
+
+    for e in xml_stream(long(), *xml_steps("/all/c"), {}):
+        kept.append(e.get("k"))
+        held.append(len(e))
+    assert kept == [str(k) for k in range(5000)] and set(held) == {1}
+
+
+def test_a_large_xml_document_is_split_and_bounded(spark, rows, tmp_path):
+    (tmp_path / "l.xml").write_text("<all>" + "".join(f"<c k='{k}'><d>é{k}</d></c>" for k in range(60_000)) + "</all>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        assert rows(tmp_path / "l.xml", ["@k", "d"], "/all/c") == sorted(((str(k), f"é{k}") for k in range(60_000)), key=str)
+        ctx = Context(spark, Config(sources={"": Source("")}), {})
+        plan = scan(LogicalSource("", "source", str(tmp_path / "l.xml"), "/all/c"), ["@k"], ctx)._jdf.queryExecution().toString()
+        assert "wholetext" not in plan and plan.count("MapInArrow") >= 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_memory(rows):
     own = {"d": {"k": [{"a": 1}, {"a": 2}]}, "j": '{"k": [{"a": "x"}]}', "l": [("1",), ("2",)], "p": pd.DataFrame({"a": [1, 2], "b": ['"q"', None]})}
     assert rows("{d}", ["a"], "$.k[*]", own) == [("1",), ("2",)] and rows("{j}", ["a"], "$.k[*]", own) == [("x",)]

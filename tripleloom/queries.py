@@ -411,7 +411,16 @@ def made_documents(spark: SparkSession, sf_dir: str) -> str:
     own.select(F.to_json(F.struct("id", F.struct(F.col("orders").alias("list")).alias("own"))).alias("value")).write.text(f"{root}/customers.jsonl")
     each = F.transform("orders", lambda o: F.concat(F.lit('<order key="'), o["key"].cast("string"), F.lit('"'), F.coalesce(F.concat(F.lit(' status="'), o["status"], F.lit('"')), F.lit("")), F.lit("/>")))
     line = F.concat(F.lit('<customer id="'), F.col("id").cast("string"), F.lit('">'), F.array_join(each, ""), F.lit("</customer>"))
-    own.select(line.alias("x")).agg(F.concat(F.lit("<all>"), F.concat_ws("", F.collect_list("x")), F.lit("</all>")).alias("value")).coalesce(1).write.text(f"{root}/customers.xml")
+
+    def document(batches):
+        """One document of all lines, which pass by."""
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(["<all>"])], ["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["</all>"])], ["value"])
+
+    own.select(line.alias("value")).repartition(1).mapInArrow(document, "value string").write.text(f"{root}/customers.xml")
     return root
 
 

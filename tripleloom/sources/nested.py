@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import xml.etree.ElementTree as ET
-from itertools import product
+import zlib
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice, product
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,26 +162,174 @@ def xml_values(e: ET.Element, ref: str, spaces: dict[str, str]) -> list[str | No
     return [n.get(attribute) if at else n.text for n in nodes]
 
 
+NAME = r"(?:[\w.-]+:)?[\w.-]+"
+PIECES = "file long, first int, part long, n long, text binary"
+SPACES = re.compile(r"xmlns(?::([\w.-]+))?\s*=\s*[\"']([^\"']*)[\"']")
+
+
+def xml_steps(iterator: str | None) -> tuple[str, list[str]] | None:
+    """How an iterator can be followed while a document is read: from its root (/), anywhere (//), or from the root's children and else anywhere (""); and its steps. None where it takes the whole document."""
+    path = re.sub(r"/+$", "", (iterator or "/*").strip())
+    found = re.fullmatch(rf"(//|/|)((?:\*|{NAME})(?:/(?:\*|{NAME}))*)", path)
+    if not found or path == "/*" or path == ".":
+        return None
+    return found[1], found[2].split("/")
+
+
+def _tag(step: str, spaces: dict[str, str]) -> str | None:
+    """The tag that a step of find() stands for; None for any."""
+    prefix, colon, local = step.rpartition(":")
+    if step == "*":
+        return None
+    if colon:
+        if prefix not in spaces:
+            raise SyntaxError(f"prefix {prefix!r} not found in prefix map")
+        return f"{{{spaces[prefix]}}}{local}"
+    return f"{{{spaces['']}}}{step}" if spaces.get("") else step
+
+
+def xml_stream(pieces: Iterable[str | bytes], how: str, steps: list[str], spaces: dict[str, str]) -> Iterator[ET.Element]:
+    """Elements of a document that steps lead to, each as soon as it ends; what no such element holds is let go."""
+    parser = ET.XMLPullParser(("start", "end"))
+    above: list[ET.Element] = []
+    inside = 0
+    n = len(steps)
+    tags = None if how == "/" and n == 1 else [_tag(x, spaces) for x in (steps[1:] if how == "/" else steps)]
+
+    def chosen(e: ET.Element) -> bool:
+        depth = len(above) + 1
+        if how == "/":
+            if depth != n or n > 1 and tags[-1] not in (None, e.tag):
+                return False
+            first = above[0] if above else e
+            return (steps[0] == "*" or _matches(first, steps[0], spaces)) and all(t in (None, x.tag) for t, x in zip(tags or (), above[1:]))
+        if how == "//" and n == 1 and depth == 1:
+            return _matches(e, steps[0], spaces)
+        if depth != n + 1 if how == "" else depth < n + 1:
+            return False
+        return tags[-1] in (None, e.tag) and all(t in (None, x.tag) for t, x in zip(tags[:-1], above[depth - n :]))
+
+    def events():
+        for p in pieces:
+            parser.feed(p)
+            yield from parser.read_events()
+        parser.close()
+        yield from parser.read_events()
+
+    for kind, e in events():
+        if kind == "start":
+            inside += chosen(e)
+            above.append(e)
+            continue
+        above.pop()
+        if own := chosen(e) if inside else False:
+            yield e
+            inside -= own
+        if above and not inside:
+            above[-1].remove(e)
+
+
+def xml_document(pieces: Iterable[str | bytes], iterator: str | None, spaces: dict[str, str]) -> Iterator[ET.Element]:
+    found = xml_steps(iterator)
+    if found is None:
+        parser = ET.XMLParser()
+        for p in pieces:
+            parser.feed(p)
+        yield from xml_items(parser.close(), iterator, spaces)
+    elif found[0]:
+        yield from xml_stream(pieces, *found, spaces)
+    else:  # from the root's children; where nothing is there, from anywhere, on a second reading
+        with tempfile.TemporaryFile() as kept:
+
+            def keep():
+                for p in pieces:
+                    kept.write(p if isinstance(p, bytes) else p.encode())
+                    yield p
+
+            some = False
+            for e in xml_stream(keep(), "", found[1], spaces):
+                some = True
+                yield e
+            if not some:
+                kept.seek(0)
+                yield from xml_stream(iter(lambda: kept.read(1 << 20), b""), "//", found[1], spaces)
+
+
+def xml_pieces(ctx: Context, path: str) -> DataFrame:
+    """Pieces of documents (file, first, part, n, compressed text), in order by these: what the name spaces are (first), then the text. Files are split among tasks after any >."""
+    own = ctx.spark.read.option("lineSep", ">").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), "value")
+
+    def run(batches):
+        n = 0
+        for b in batches:
+            files, parts, values = (b.column(k).to_pylist() for k in range(3))
+            out, at = [], 0
+            for k in range(1, len(values) + 1):
+                if k == len(values) or files[k] != files[at] or parts[k] != parts[at]:
+                    text = ">".join(values[at:k]) + ">"
+                    if "xmlns" in text:
+                        first: dict[str | None, str] = {}
+                        for m in SPACES.finditer(text):  # of a prefix the last, of none the first
+                            first = first | {m[1]: m[0]} if m[1] else {None: m[0]} | first
+                        out.append((files[at], 0, parts[at], n, zlib.compress(" ".join(first.values()).encode(), 1)))
+                    out.append((files[at], 1, parts[at], n, zlib.compress(text.encode(), 1)))
+                    n, at = n + 1, k
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["file", "first", "part", "n", "text"])
+
+    return own.mapInArrow(run, PIECES)
+
+
 def xml_file(ctx: Context, path: str, iterator: str | None, references: list[str]) -> DataFrame:
-    """Each document is parsed by one task; documents are spread over tasks."""
+    """A document is cut by many tasks and parsed by one, which holds one element of the iterator at a time (the whole document for /, /* and paths with predicates or dots); documents are spread over tasks."""
     if path.startswith(("http://", "https://")):
         from .http import fetch
 
-        docs = ctx.spark.createDataFrame([(fetch(path),)], "value string")
+        text = fetch(path)
+        docs = ctx.spark.createDataFrame([(0, k, 0, 0, zlib.compress(t.encode())) for k, t in enumerate((" ".join(m[0] for m in SPACES.finditer(text)), text + ">"))], PIECES)
     else:
-        docs = ctx.spark.read.text(path, wholetext=True)
+        docs = xml_pieces(ctx, path).repartition("file").sortWithinPartitions("file", "first", "part", "n")
+
+    def records(batches):
+        for b in batches:
+            yield from ((f, k, zlib.decompress(t.as_py()).decode()) for f, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4)))
+
+    def pieces(texts):
+        """The text without the > that follows its last character."""
+        last, declared = None, False
+        for k, text in enumerate(texts):
+            if k == 0:
+                declared = text.lstrip().startswith("<?xml")
+            if last is not None:
+                yield last.encode() if declared else last
+            last = text
+        end = last[:-1]
+        end = end if not end.strip() or end.rstrip().endswith(">") else last
+        yield end.encode() if declared else end
+
+    def rows(batches):
+        for _, own in groupby(records(batches), key=lambda r: r[0]):
+            spaces: dict[str, str] = {}
+            default = None
+            for _, first, text in own:
+                if first:
+                    break
+                for prefix, uri in SPACES.findall(text):
+                    if prefix:
+                        spaces[prefix] = uri
+                    elif default is None:
+                        default = uri
+            if default is not None:
+                spaces[""] = default
+            for e in xml_document(pieces(chain([text], (r[2] for r in own))), iterator, spaces):
+                yield from product(*(xml_values(e, r, spaces) for r in references))
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for text in pdf["value"]:
-                spaces = {k: v for k, v in re.findall(r"xmlns:([\w.-]+)\s*=\s*[\"']([^\"']*)[\"']", text)}
-                for k in re.findall(r"xmlns\s*=\s*[\"']([^\"']*)[\"']", text)[:1]:
-                    spaces[""] = k
-                root = ET.fromstring(text.encode() if text.lstrip().startswith("<?xml") else text)
-                for e in xml_items(root, iterator, spaces):
-                    rows += product(*(xml_values(e, r, spaces) for r in references))
-            yield pd.DataFrame({f"c{k}": pd.Series([r[k] for r in rows], dtype=object) for k in range(len(references))})
-
-    out = docs.mapInPandas(run, ", ".join(f"c{k} string" for k in range(len(references))))
+        made = rows(batches)
+        while some := list(islice(made, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some)], [f"c{k}" for k in range(len(references))])
+
+    out = docs.mapInArrow(run, ", ".join(f"c{k} string" for k in range(len(references))))
+    if references:  # what follows shall not be one task's work
+        out = out.repartition(*out.columns)
     return out.toDF(*references)
