@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -125,6 +126,18 @@ def test_partitioning_changes_nothing(spark, memory, seed):
     assert results[0] == results[1] == results[2]
 
 
+def test_rules_of_a_group_that_share_no_statement_shuffle_columns(spark, sf):
+    """Also beside rules that share statements; null values and all policies included."""
+    subject = 'rml:subjectMap [ rml:template "http://ex.org/{c_custkey}" ]'
+    poms = "".join(f" ; rml:predicateObjectMap [ rml:predicate ex:{p} ; rml:objectMap [ {o} ] ]" for p, o in (("a", 'rml:reference "c_name"'), ("b", 'rml:template "http://ex.org/n/{c_nationkey}"'), ("c", 'rml:template "x{c_name}" ; rml:termType rml:Literal'), ("c", 'rml:reference "c_mktsegment"')))
+    text = HEAD + f'<#A> rml:logicalSource [ rml:source "{sf}/customer.parquet" ] ; {subject}{poms} .'
+    df = Engine(spark, mapping=text, mapping_partitioning="NO").quads()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1 and re.search(r"Exchange hashpartitioning\([^)]*\bk#", plan)
+    rows = [tuple(r) for r in df.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in Engine(spark, mapping=text).quads().collect()} == {tuple(r) for r in Engine(spark, mapping=text, mapping_partitioning="MAXIMAL").quads().collect()}
+
+
 def test_maximal_partitioning_has_at_least_as_many_groups(spark, memory):
     for seed in range(20):
         rules = [r for r in Engine(spark, mapping=HEAD + random_mapping(random.Random(seed)), memory=memory).rules if r.predicate]

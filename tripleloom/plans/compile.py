@@ -5,7 +5,7 @@ and are only united. Three shapes of plan are used:
 
 * narrow: the columns that a rule needs, without duplicates, then terms. The shuffle moves column values, not statements. For a rule alone in
   its group whose terms differ wherever its columns do, and sources that read columns by themselves.
-* stacked: one scan for all plain rules of a source; each row gives an array of statements, one per rule, which is exploded.
+* stacked: one scan for all plain rules of a source; each row gives an array of statements, one per rule, which is exploded. Where all of a group are, statements stay columns until duplicates are removed (compact).
 * joined: as narrow, for a referencing object map: only key and term columns go through the join, whose rows lose duplicates before terms are made.
 * general: a rule by itself, for other joins, quoted statements and functions.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..mapping.rules import LogicalSource, Rule, TermMap
 from ..operators.terms import evaluate, graph, is_injective, term
 from ..sources import Context, NESTED, col, is_columnar, scan, source_type
+from .partition import partition
 
 OUT = ("s", "p", "o", "g")
 NEVER_TYPED = {"", "nan", "NaN", "NA", "N/A", "n/a", "None", "none", "null", "NULL", "-"}
@@ -206,6 +207,33 @@ class Compiler:
         out = df.select(F.explode(F.array(*made)).alias("t")).where("t is not null")
         return out.select(*(F.col("t")[c].alias(c) for c in OUT))
 
+    def compact(self, rules: list[Rule]) -> DataFrame:
+        """One scan, as stacked, without duplicates. A rule that can share no statement with the others, and whose terms differ wherever its columns do, has its columns
+        go through the shuffle, with the rule's number; the others have their statements. Terms are made of the columns afterwards."""
+        parts = partition(rules, all_rules=self.rules)
+        single = {k: g[0] for k, g in enumerate(parts) if len(g) == 1 and self.is_narrow(g[0])}
+        if not single:
+            return self.stacked(rules).dropDuplicates()
+        references = list(dict.fromkeys(x for r in rules for x in r.references()))
+        df = scan(rules[0].source, references, self.ctx)
+        width = max(len(OUT) if len(single) < len(parts) else 0, *(len(r.references()) for r in single.values()))
+        made = []
+        for k, g in enumerate(parts):
+            for r in g:
+                values = [col(x) for x in r.references()] if k in single else self.columns(r)
+                own = F.struct(F.lit(k).alias("k"), *((values[j] if j < len(values) else F.lit(None).cast("string")).alias(f"v{j}") for j in range(width)))
+                made.append(F.when(self.present(df, r.references()), own))
+        rows = df.select(F.explode(F.array(*made)).alias("t")).where("t is not null").select("t.*").dropDuplicates()
+        rows = rows.select("*", *(F.col(f"v{j}").alias(f"__{k}_{x}") for k, r in single.items() for j, x in enumerate(r.references())))
+        out = []
+        for at, name in enumerate(OUT):
+            c = F.when(F.lit(False), F.lit(None).cast("string"))
+            for k, r in single.items():
+                m, pre = (r.subject, r.predicate, r.object, r.graph)[at], f"__{k}_"
+                c = c.when(F.col("k") == k, graph(m, self.ctx.config, pre) if name == "g" else term(m, self.ctx.config, pre))
+            out.append((c.otherwise(F.col(f"v{at}")) if len(single) < len(parts) else c).alias(name))
+        return rows.select(*out)
+
     def group(self, rules: list[Rule]) -> DataFrame:
         """The statements of a group, without duplicates."""
         if len(rules) == 1:
@@ -224,6 +252,8 @@ class Compiler:
                 stacks.setdefault(key, []).append(r)
             else:
                 parts.append(self.general(r))
+        if not parts and len(stacks) == 1:
+            return self.compact(rules)
         parts += [self.stacked(v) if len(v) > 1 else self.general(v[0]) for v in stacks.values()]
         return union(parts).dropDuplicates()
 
