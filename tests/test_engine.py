@@ -138,6 +138,20 @@ def test_rules_of_a_group_that_share_no_statement_shuffle_columns(spark, sf):
     assert len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in Engine(spark, mapping=text).quads().collect()} == {tuple(r) for r in Engine(spark, mapping=text, mapping_partitioning="MAXIMAL").quads().collect()}
 
 
+def test_rows_are_spread_before_a_function_makes_lists_of_them(spark, sf, monkeypatch):
+    from tripleloom.plans import compile as plans
+
+    monkeypatch.setattr(plans, "SMALL", 10)
+    call = 'rml:functionExecution [ rml:function grel:unicodestring-s ; rml:input [ rml:parameter grel:valueParameter ; rml:inputValueMap [ rml:reference "p_brand" ] ] ]'
+    text = HEAD + f'<#A> rml:logicalSource [ rml:source "{sf}/part.parquet" ] ; rml:subjectMap [ rml:template "http://ex.org/{{p_partkey}}" ] ; rml:predicateObjectMap [ rml:predicate ex:c ; rml:objectMap [ {call} ] ] .'
+    df = Engine(spark, mapping=text).quads()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan.split("Generate explode")[1]
+    got = [tuple(r) for r in df.collect()]
+    monkeypatch.undo()
+    assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in Engine(spark, mapping=text).quads().collect()}
+
+
 def test_maximal_partitioning_has_at_least_as_many_groups(spark, memory):
     for seed in range(20):
         rules = [r for r in Engine(spark, mapping=HEAD + random_mapping(random.Random(seed)), memory=memory).rules if r.predicate]

@@ -26,6 +26,8 @@ from .partition import partition
 OUT = ("s", "p", "o", "g")
 NEVER_TYPED = {"", "nan", "NaN", "NA", "N/A", "n/a", "None", "none", "null", "NULL", "-"}
 PARENT = "__parent_"
+SMALL = 1_000_000  # bytes of a source's columns, as far as Spark knows them before it reads
+UNKNOWN = 1 << 50
 SCHEMA = "s string, p string, o string, g string"
 
 
@@ -193,9 +195,18 @@ class Compiler:
         references = self.quoted_references(r)
         if not references and self.is_plain(r):
             return self.constant(r)
-        rows = self.rows(r.source, references)
+        rows = self.spread(self.rows(r.source, references)) if any(m.kind == "function" for m in r.maps) else self.rows(r.source, references)
         return self.statement(r, rows).select(col("__s0").alias("s"), col("__p0").alias("p"), col("__o0").alias("o"), col("__g0").alias("g"))
 
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows of a function's arguments over many tasks: its lists, and the removal of their duplicates, may be many times what a task has read. Small sources stay as they are."""
+        spark = self.ctx.spark
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if size < SMALL:
+            return rows
+        return rows.repartition(least if size >= UNKNOWN else max(least, size // SMALL))
+
     def stacked(self, rules: list[Rule]) -> DataFrame:
         """One scan, several statements a row."""
         references = list(dict.fromkeys(x for r in rules for x in r.references()))
