@@ -152,6 +152,18 @@ def test_rows_are_spread_before_a_function_makes_lists_of_them(spark, sf, monkey
     assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in Engine(spark, mapping=text).quads().collect()}
 
 
+def test_shuffled_parts_are_small_unless_their_size_is_set(spark, memory):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        for given, want in ((None, "16MB"), ("100MB", "100MB")):
+            spark.conf.set(name, given) if given else spark.conf.unset(name)
+            Engine(spark, mapping=HEAD + tm("A", "boats", 'rml:template "http://ex.org/{ID}"', ("name", 'rml:reference "Name"')), memory=memory)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_maximal_partitioning_has_at_least_as_many_groups(spark, memory):
     for seed in range(20):
         rules = [r for r in Engine(spark, mapping=HEAD + random_mapping(random.Random(seed)), memory=memory).rules if r.predicate]

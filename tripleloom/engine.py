@@ -23,6 +23,7 @@ from .sources import Context, source_type
 from .sources.databases import table_types
 from .vocab import HTV
 
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
@@ -116,6 +117,8 @@ class Engine:
         env = spark.sparkContext.environment
         if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
             env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+        if spark.conf.get(ADVISORY) in ("64MB", "67108864b"):  # its default: after text is unpacked, sorted and hashed, gigabytes a task
+            spark.conf.set(ADVISORY, "16MB")
         self.spark = spark
         self.config = config if isinstance(config, Config) else load_config(config) if config else Config(sources={"default": Source("default")})
         for k, v in options.items():
